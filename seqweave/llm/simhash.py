@@ -28,8 +28,12 @@ WIDTH, RADIUS = 3, 2
 #: Fingerprints in a tile.
 TILE = 4096
 #: Of near_duplicates(): differing bits at which texts are compared, blocks of bits (two equal ones make a
-#: candidate), words in a shingle, least Jaccard similarity.
-NEAR_RADIUS, NEAR_BLOCKS, NEAR_WIDTH, NEAR_SIMILARITY = 12, 9, 5, 0.8
+#: candidate), words in a shingle, least Jaccard similarity,
+#: documents in a tile.
+NEAR_RADIUS, NEAR_BLOCKS, NEAR_WIDTH, NEAR_SIMILARITY, NEAR_TILE = 12, 9, 5, 0.8, 512
+#: Bins of the sketch that candidates are held against first, one bit each, and the most that may differ: texts of the
+#: least similarity differ in about 9 with a deviation of 3.
+SKETCH, SKETCH_RADIUS = 128, 20
 STEP = 65_536
 
 
@@ -49,9 +53,11 @@ def shingle_hashes(toks: list[bytes], width: int) -> np.ndarray:
 
 def fingerprint(raw: bytes | None, width: int = WIDTH) -> int:
     toks = tokens(raw)
-    if not toks:
-        return 0
-    h = shingle_hashes(toks, width)
+    return majority(shingle_hashes(toks, width)) if toks else 0
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), STEP):
         part = h[at : at + STEP]
@@ -71,6 +77,13 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
+def bits_of_extremes(h: np.ndarray) -> np.ndarray:
+    """Two longs: of each bin of shingle hashes, one bit of the largest; 0 for an empty bin."""
+    most = np.zeros(SKETCH, np.uint64)
+    np.maximum.at(most, (h % np.uint64(SKETCH)).astype(np.int64), h // np.uint64(SKETCH))
+    return np.packbits((most & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def planes(fp: np.ndarray) -> np.ndarray:
     """64 rows of words; bit i of row b is bit b of fingerprint i."""
     bits = np.unpackbits(fp.view(np.uint8), bitorder="little").reshape(len(fp), 64).T
@@ -110,8 +123,11 @@ def within(diff: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray
     full, none = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
     ones, twos, fours, eights = (np.full_like(valid, full if start >> k & 1 else none) for k in range(4))
     over = ~valid
+    words, kept = len(valid), None
     for at in range(0, 64, 8):
         d = diff[at : at + 8]
+        if kept is not None:
+            d = d[:, kept]
         ones, t0 = add(ones, d[0], d[1])
         ones, t1 = add(ones, d[2], d[3])
         twos, f0 = add(twos, t0, t1)
@@ -121,9 +137,18 @@ def within(diff: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray
         fours, e = add(fours, f0, f1)
         over |= eights & e
         eights = eights ^ e
-        if not (~over).any():
+        alive = np.flatnonzero(~over)  # words with a lane within the radius
+        if not len(alive):
             break
-    return ~over, [ones, twos, fours, eights]
+        if 24 <= at < 56 and 2 * len(alive) < len(over):  # abandon the other words
+            kept = alive if kept is None else kept[alive]
+            ones, twos, fours, eights, over = (x[alive] for x in (ones, twos, fours, eights, over))
+    found = [~over, ones, twos, fours, eights]
+    if kept is not None:
+        full_size = np.zeros((5, words), np.uint64)
+        full_size[:, kept] = found
+        found = list(full_size)
+    return found[0], found[1:]
 
 
 def linked(fp: np.ndarray, group: np.ndarray, radius: int):
@@ -186,7 +211,7 @@ def grouped(nodes: DataFrame, blocks: int, tile: int) -> DataFrame:
     return rows.repartition("g").sortWithinPartitions("g", "fp")
 
 
-def by_groups(batches):
+def by_groups(batches, most: int = 100_000):
     """Joins the record batches of a partition sorted by its first column to tables of whole groups; single rows are left out."""
     kept: list[pa.RecordBatch] = []
     rows = 0
@@ -201,7 +226,7 @@ def by_groups(batches):
         if b.num_rows:
             kept.append(b)
             rows += b.num_rows
-            if rows >= 100_000:
+            if rows >= most:
                 done, rest = cut(False)
                 if done.num_rows:
                     yield done
@@ -241,20 +266,29 @@ class Union:
 
 
 def spanning_links(nodes: DataFrame, radius: int, blocks: int, tile: int = TILE) -> DataFrame:
-    """Edges a > b of fingerprints, enough of them to connect all that link inside a group."""
+    """Edges a > b of the nodes' ids, enough of them to connect all that link inside a group.
+
+    nodes: fp, id; with s1 and s2, nodes whose sketches differ in more than SKETCH_RADIUS bits do not link.
+    """
+    sketched = "s1" in nodes.columns
 
     def run(batches):
         for t in map(several, by_groups(batches)):
-            g, fp = t.column(0).to_numpy(), t.column(1).to_numpy()
+            g, fp, ids = (t.column(k).to_numpy() for k in range(3))
+            s = [t.column(k).to_numpy() for k in (3, 4)] if sketched else []
             sets = Union(len(fp))
             for i, j, _ in linked(fp.astype(np.int64), g, radius):
+                if sketched:
+                    keep = sum(np.bitwise_count(x[i] ^ x[j]) for x in s) <= SKETCH_RADIUS
+                    i, j = i[keep], j[keep]
                 sets.link(i, j)
             root = sets.roots()
             i = np.flatnonzero(root != np.arange(len(fp)))
-            a, b = fp[i], fp[root[i]]
+            a, b = ids[i], ids[root[i]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    return grouped(nodes.select("fp"), blocks, tile).mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    columns = ["fp", "id", *(("s1", "s2") if sketched else ())]
+    return grouped(nodes.select(*columns), blocks, tile).mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -300,48 +334,13 @@ def near_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile
     """
     marked = reliable(fingerprints(docs, width))
     nodes = reliable(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    comps = reliable(connected(spanning_links(nodes, radius, radius + 2, tile)))
+    comps = reliable(connected(spanning_links(nodes.select("fp", F.col("fp").alias("id")), radius, radius + 2, tile)))
     member = nodes.join(comps, nodes.fp == comps.v, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     member = reliable(member.join(least, "root").select(F.col("fp").alias("fp_"), "component_id"))
     return marked.join(member, marked.fp == member.fp_).select("doc_id", "fp", "component_id")
 
 
-def candidate_links(nodes: DataFrame, radius: int, blocks: int, first: bool, tile: int = TILE) -> DataFrame:
-    """Pairs a > b of node ids whose fingerprints are within the radius.
-
-    nodes: fp, id, label. With `first`, of each node's partners in a group only the nearest and the one of
-    smallest id; else all with another label.
-    """
-
-    def run(batches):
-        for t in map(several, by_groups(batches)):
-            g, fp, ids, label = (t.column(k).to_numpy() for k in range(4))
-            n = len(fp)
-            best, near, least = np.full(n, 99, np.int64), np.full(n, -1), np.full(n, -1)
-            for i, j, d in linked(fp.astype(np.int64), g, radius):
-                keep = label[i] != label[j]
-                i, j, d = i[keep], j[keep], d[keep]
-                if not first:
-                    for at in range(0, len(i), STEP):
-                        yield pairs(ids[i[at : at + STEP]], ids[j[at : at + STEP]])
-                    continue
-                for x, y in ((i, j), (j, i)):  # within one shift, x has no repeats
-                    better = d < best[x]
-                    best[x[better]], near[x[better]] = d[better], y[better]
-                    lower = (least[x] < 0) | (ids[y] < ids[least[x]])
-                    least[x[lower]] = y[lower]
-            for y in (near, least):
-                x = np.flatnonzero(y >= 0)
-                if len(x):
-                    yield pairs(ids[x], ids[y[x]])
-
-    def pairs(x, y):
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-
-    return grouped(nodes.select("fp", "id", "label"), blocks, tile).mapInArrow(run, "a long, b long").distinct()
-
-
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """id, s: the sorted distinct 64-bit hashes of a text's shingles."""
 
@@ -353,60 +352,91 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, s array<long>")
 
 
-def alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) have a Jaccard similarity of at least `similarity`."""
-    ids = reliable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = reliable(shingle_sets(texts.join(small(ids), "id", "left_semi"), width))
+def overlaps(sets: list[np.ndarray]):
+    """Yields, for each set, its number of common elements with every set."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    _, term = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(term, kind="stable")
+    holders, ends = owner[order], np.r_[0, np.cumsum(np.bincount(term))]
+    at = np.r_[0, np.cumsum(sizes)]
+    for i in range(n):
+        t = term[at[i] : at[i + 1]]
+        lens = ends[t + 1] - ends[t]
+        place = np.repeat(ends[t] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        yield np.bincount(holders[place], minlength=n)
 
-    def run(batches):
-        for b in batches:
-            near = [jaccard(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) >= similarity for x, y in zip(b.column(2), b.column(3))]
-            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), sets.select(F.col("id").alias("b"), F.col("s").alias("s2"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "s1", "s2").mapInArrow(run, "a long, b long")
+def alike(members: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Edges a > b, enough of them to connect the members (g, id, s) of each group g whose sets are as similar as asked.
 
+    Groups beyond a tile are cut in tiles, all pairs of which meet; a task holds two tiles at most.
+    """
+    heavy = F.col("n") > tile
+    sizes = reliable(members.groupBy("g").agg(F.count("*").alias("n")).filter((F.col("n") > 1)))
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    rows = members.join(small(sizes), "g").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), tiles).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), tiles - 1), lambda u: F.xxhash64("g", F.least(u, F.col("own")), F.greatest(u, F.col("own"))))
+    rows = rows.withColumn("k", F.explode(F.when(heavy, others).otherwise(F.array(F.xxhash64("g"))))).select("k", "id", "s")
+    rows = rows.repartition("k").sortWithinPartitions("k", "id")
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+    def run(batches):
+        for t in by_groups(batches, 5_000):
+            g = t.column(0).to_numpy()
+            starts = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+            for lo, hi in zip(starts, starts[1:]):
+                part = t.slice(lo, hi - lo)
+                ids, lists = part.column(1).to_numpy(), part.column(2).combine_chunks()
+                sets = [lists[i].values.to_numpy(zero_copy_only=False) for i in range(len(lists))]
+                n, links = np.array([len(x) for x in sets]), Union(len(sets))
+                for i, both in enumerate(overlaps(sets)):
+                    near = np.flatnonzero(both >= similarity * (n + n[i] - both))
+                    links.link(np.full(len(near), i), near)
+                root = links.roots()
+                i = np.flatnonzero(root != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[root[i]])], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """doc_id, keeper: the document that stays for each document, itself if it is unlike all others.
 
-    Documents are alike if their texts are equal, or if their fingerprints (three-word shingles) differ in at
-    most `radius` bits, agree in two of `blocks` blocks, and their texts' sets of `width`-word shingles have the
-    given Jaccard similarity. A group is what such links connect; its smallest doc_id stays. Rows of a null
-    doc_id have no copies; documents without words are copies of each other.
+    Candidates are linked if their fingerprints (three-word shingles) differ in at most `radius` bits and agree in two of
+    `blocks` blocks, and their sketches are near. Among what such links connect, two documents are alike if their texts
+    are equal or their sets of `width`-word shingles have the given Jaccard similarity. A group is what likeness
+    connects; its smallest doc_id stays. Rows of a null doc_id have no copies; documents without words are copies of
+    each other; of an id given with several texts, any one may stand for it.
     """
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marked = reliable(marked_texts(rows))
-    nodes = reliable(marked.groupBy("fp", "t1", "t2").agg(F.min("doc_id").alias("id")))
-    texts = rows.withColumnRenamed("doc_id", "id")
-    first = reliable(candidate_links(nodes.withColumn("label", F.col("id")), radius, blocks, True))
-    sure = reliable(alike(first, texts, width, similarity))
-    comps = reliable(connected(sure))
-    labels = nodes.join(small(comps), nodes.id == comps.v, "left").select("fp", "id", F.coalesce("root", "id").alias("label"))
-    rest = reliable(candidate_links(labels, radius, blocks, False).join(first, ["a", "b"], "left_anti"))
-    comps = reliable(connected(sure.union(alike(rest, texts, width, similarity))))
+    nodes = reliable(marked.groupBy("fp", "t1", "t2").agg(F.min("doc_id").alias("id"), F.min("s1").alias("s1"), F.min("s2").alias("s2")))
+    found = reliable(connected(spanning_links(nodes, radius, blocks)))
+    members = nodes.join(small(found), nodes.id == found.v).select(F.col("root").alias("g"), "id")
+    members = reliable(members)
+    sets = shingle_sets(rows.withColumnRenamed("doc_id", "id").join(small(members.select("id")), "id", "left_semi").dropDuplicates(["id"]), width)
+    comps = reliable(connected(alike(sets.join(small(members), "id"), similarity, NEAR_TILE)))
     keepers = nodes.join(small(comps), nodes.id == comps.v, "left").select("fp", "t1", "t2", F.coalesce("root", "id").alias("keeper"))
     keepers = reliable(keepers)
     return marked.join(keepers, ["fp", "t1", "t2"]).select("doc_id", "keeper")
 
 
 def marked_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, and two hashes of the exact text."""
+    """doc_id, fp, two hashes of the exact text (t1, t2), and the sketch (s1, s2)."""
 
     def run(batches):
         for b in batches:
-            raw = [x.as_py() or b"" for x in b.column(1)]
-            cols = [np.fromiter((f(x) for x in raw), np.int64, len(raw)) for f in (fingerprint, lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63), lambda x: xxhash.xxh64_intdigest(x, 1) - (1 << 63))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["doc_id", "fp", "t1", "t2"])
-
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, t1 long, t2 long")
+            rows = []
+            for x in b.column(1):
+                raw = x.as_py() or b""
+                toks = tokens(raw)
+                h = shingle_hashes(toks, WIDTH) if toks else np.zeros(0, np.uint64)
+                rows.append((majority(h) if toks else 0, xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 1) - (1 << 63), *bits_of_extremes(h)))
+            cols = np.array(rows, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["doc_id", "fp", "t1", "t2", "s1", "s2"])
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, t1 long, t2 long, s1 long, s2 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
