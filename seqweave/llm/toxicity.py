@@ -55,7 +55,7 @@ class Machine:
 
 def margins(rows, f, n, bias, w, v):
     total = np.stack([np.bincount(rows, v[f, k], n) for k in range(v.shape[1])], 1)
-    squares = np.bincount(rows, (v[f] ** 2).sum(1), n)
+    squares = np.bincount(rows, (v**2).sum(1)[f], n)
     return bias + np.bincount(rows, w[f], n) + ((total**2).sum(1) - squares) / 2, total
 
 
@@ -64,13 +64,21 @@ def sigmoid(x):
 
 
 def fit(buckets: list[np.ndarray], y: np.ndarray) -> Machine:
+    """The machine of documents' buckets and labels."""
+    return fitted(np.concatenate([*buckets, np.zeros(0, np.int64)]), [len(b) for b in buckets], y)
+
+
+def fitted(flat: np.ndarray, sizes, y: np.ndarray) -> Machine:
+    """The machine of documents whose buckets stand in `flat` one after the other, `sizes` of each.
+
+    The driver holds one small number for each term and, for terms of chosen buckets, a few more.
+    """
     n, none = len(y), Machine(np.full(BUCKETS, -1), 0.0, np.zeros(0), np.zeros((0, RANK)))
     share = y.mean() if n else 0.0
     if not 0 < share < 1:
         none.bias = 40.0 if share else -40.0
         return none
-    rows = np.repeat(np.arange(n), [len(b) for b in buckets])
-    flat = np.concatenate(buckets)
+    rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
     seen = np.bincount(flat, minlength=BUCKETS)
     toxic = np.bincount(flat, y[rows], BUCKETS)
     # How far a bucket's share of toxic rows lies from the share of all, in standard errors.
@@ -80,7 +88,9 @@ def fit(buckets: list[np.ndarray], y: np.ndarray) -> Machine:
     order = order[np.abs(z[order]) >= 3]
     index = np.full(BUCKETS, -1)
     index[order] = np.arange(len(order))
-    rows, f = rows[index[flat] >= 0], index[flat[index[flat] >= 0]]
+    used = (index >= 0)[flat]
+    rows, f = rows[used], index[flat[used]]
+    del used
     rng = np.random.default_rng(SEED)
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(len(order)), rng.normal(0, 0.01, (len(order), RANK))
     moments = [np.zeros(2), *(np.zeros((2, *x.shape)) for x in (w, v))]
@@ -112,9 +122,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", F.col("text").cast("binary")).mapInArrow(run, "y double, f array<int>").toArrow()
     lists = rows.column("f").combine_chunks()
-    ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-    buckets = [flat[a:b].astype(np.int64) for a, b in zip(ends, ends[1:])]
-    return fit(buckets, (rows.column("y").to_numpy() > 0).astype(np.float64))
+    sizes, y = np.diff(lists.offsets.to_numpy()), (rows.column("y").to_numpy() > 0).astype(np.float64)
+    return fitted(lists.flatten().to_numpy(), sizes, y)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
