@@ -84,6 +84,11 @@ def bits_of_extremes(h: np.ndarray) -> np.ndarray:
     return np.packbits((most & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of differing bits of longs; unsigned, as numpy counts the bits of a signed number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
+
+
 def planes(fp: np.ndarray) -> np.ndarray:
     """64 rows of words; bit i of row b is bit b of fingerprint i."""
     bits = np.unpackbits(fp.view(np.uint8), bitorder="little").reshape(len(fp), 64).T
@@ -279,7 +284,7 @@ def spanning_links(nodes: DataFrame, radius: int, blocks: int, tile: int = TILE)
             sets = Union(len(fp))
             for i, j, _ in linked(fp.astype(np.int64), g, radius):
                 if sketched:
-                    keep = sum(np.bitwise_count(x[i] ^ x[j]) for x in s) <= SKETCH_RADIUS
+                    keep = sum(differing(x[i], x[j]) for x in s) <= SKETCH_RADIUS
                     i, j = i[keep], j[keep]
                 sets.link(i, j)
             root = sets.roots()

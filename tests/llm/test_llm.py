@@ -46,6 +46,11 @@ def test_bit_slices_against_brute_force():
         assert got == want
 
 
+def test_differing_bits_of_signed_longs():
+    a, b = np.array([0, 0, -1, 5], np.int64), np.array([-(2**63), -1, 1, 5], np.int64)
+    assert simhash.differing(a, b).tolist() == [1, 64, 63, 0]
+
+
 @pytest.mark.parametrize("tile", [4096, 3])
 def test_simhash_classes(spark, tile):
     rows, docs = corpus(spark)
