@@ -278,12 +278,23 @@ def baum_welch(docs: DataFrame, voc: Vocabulary, model: Model, rounds: int = ROU
     return model
 
 
+def sampled(docs: DataFrame, n: int) -> DataFrame:
+    """t: the beginnings of the START_DOCS documents of the smallest hashes, of n.
+
+    A limit that is collected takes so many rows of each task to the driver; a bound on the hash, which about twice
+    as many documents of the whole table meet, comes first.
+    """
+    bound = min((1 << 63) - 1, -(1 << 63) + (2 * START_DOCS << 64) // max(1, n))
+    h = F.xxhash64("doc_id")
+    begin = F.regexp_extract("text", r"^(?s).{0,%d}" % (8 * START_TOKENS), 0)
+    return docs.filter(h <= F.lit(bound)).select(h.alias("h"), "doc_id", begin.alias("t")).orderBy("h", "doc_id", "t").limit(START_DOCS)
+
+
 def fitted(docs: DataFrame, head: int = HEAD, symbols: int = SYMBOLS, states: int = STATES, rounds: int = ROUNDS):
     """The counts of all tokens of docs, the count from which words are in the head, the vocabulary, and the model."""
     counts = reliable(token_counts(docs))
     voc, least = vocabulary(counts, head, symbols)
-    sample = docs.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id"), "text").orderBy("h", "doc_id").limit(START_DOCS)
-    texts = [(r[0] or "").encode() for r in sample.select(F.regexp_extract("text", r"^(?s).{0,%d}" % (8 * START_TOKENS), 0)).collect()]
+    texts = [(r.t or "").encode() for r in sampled(docs, voc.end_count).collect()]
     seqs = [as_symbols(voc, s)[:START_TOKENS] for s in sequences(voc, pa.array(texts, pa.binary()))]
     model = starting(voc, seqs, states)
     return counts, least, voc, baum_welch(docs, voc, model, rounds)

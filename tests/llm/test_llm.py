@@ -299,3 +299,11 @@ def test_baum_welch_raises_the_likelihood(spark):
         model = hmm.baum_welch(docs, voc, start, rounds)
         sums.append(hmm.scored(docs, counts, least, voc, model).agg(F.sum("score")).first()[0])
     assert sums == sorted(sums)
+
+
+def test_hmm_sample_is_of_the_smallest_hashes(spark):
+    docs = corpus(spark)[1].select("doc_id", "text").union(spark.range(500, 4500).selectExpr("id", "concat('w', id)"))
+    n, chars = docs.count(), 8 * hmm.START_TOKENS
+    rows = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
+    want = [r.text[:chars] for r in sorted(rows, key=lambda r: (r.h, r.doc_id))[: hmm.START_DOCS]]
+    assert [r.t or "" for r in hmm.sampled(docs, n).collect()] == want
