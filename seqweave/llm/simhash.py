@@ -14,6 +14,7 @@ nothing else is there; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -27,13 +28,11 @@ from seqweave.llm.common import reliable, small
 WIDTH, RADIUS = 3, 2
 #: Fingerprints in a tile.
 TILE = 4096
-#: Of near_duplicates(): differing bits at which texts are compared, blocks of bits (two equal ones make a
-#: candidate), words in a shingle, least Jaccard similarity,
-#: documents in a tile.
-NEAR_RADIUS, NEAR_BLOCKS, NEAR_WIDTH, NEAR_SIMILARITY, NEAR_TILE = 12, 9, 5, 0.8, 512
-#: Bins of the sketch that candidates are held against first, one bit each, and the most that may differ: texts of the
-#: least similarity differ in about 9 with a deviation of 3.
-SKETCH, SKETCH_RADIUS = 128, 20
+#: Of near_duplicates(): words in a shingle, least Jaccard similarity, documents in a tile.
+NEAR_WIDTH, NEAR_SIMILARITY, NEAR_TILE = 5, 0.8, 512
+#: Shingles in more prefixes than COMMON stand last in the order of shingles, the COMMON_MOST most frequent ones at least;
+#: they are sought in at most COMMON_ROUNDS rounds. None of these changes the result: any order of shingles is exact.
+COMMON, COMMON_MOST, COMMON_ROUNDS = 4, 1_000_000, 3
 STEP = 65_536
 
 
@@ -77,13 +76,6 @@ def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def bits_of_extremes(h: np.ndarray) -> np.ndarray:
-    """Two longs: of each bin of shingle hashes, one bit of the largest; 0 for an empty bin."""
-    most = np.zeros(SKETCH, np.uint64)
-    np.maximum.at(most, (h % np.uint64(SKETCH)).astype(np.int64), h // np.uint64(SKETCH))
-    return np.packbits((most & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
-
-
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The number of differing bits of longs; unsigned, as numpy counts the bits of a signed number's absolute value."""
     return np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64)
@@ -271,29 +263,20 @@ class Union:
 
 
 def spanning_links(nodes: DataFrame, radius: int, blocks: int, tile: int = TILE) -> DataFrame:
-    """Edges a > b of the nodes' ids, enough of them to connect all that link inside a group.
-
-    nodes: fp, id; with s1 and s2, nodes whose sketches differ in more than SKETCH_RADIUS bits do not link.
-    """
-    sketched = "s1" in nodes.columns
+    """Edges a > b of the ids of nodes (fp, id), enough of them to connect all that link inside a group."""
 
     def run(batches):
         for t in map(several, by_groups(batches)):
             g, fp, ids = (t.column(k).to_numpy() for k in range(3))
-            s = [t.column(k).to_numpy() for k in (3, 4)] if sketched else []
             sets = Union(len(fp))
             for i, j, _ in linked(fp.astype(np.int64), g, radius):
-                if sketched:
-                    keep = sum(differing(x[i], x[j]) for x in s) <= SKETCH_RADIUS
-                    i, j = i[keep], j[keep]
                 sets.link(i, j)
             root = sets.roots()
             i = np.flatnonzero(root != np.arange(len(fp)))
             a, b = ids[i], ids[root[i]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    columns = ["fp", "id", *(("s1", "s2") if sketched else ())]
-    return grouped(nodes.select(*columns), blocks, tile).mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return grouped(nodes.select("fp", "id"), blocks, tile).mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -347,14 +330,88 @@ def near_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """id, s: the sorted distinct 64-bit hashes of a text's shingles."""
+    """doc_id, t1, t2, s: the sorted distinct 64-bit hashes of a text's shingles (s), and two hashes of s."""
 
     def run(batches):
         for b in batches:
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) if (t := tokens(x.as_py())) else np.zeros(0, np.int64) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            t1 = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+            t2 = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t1), pa.array(t2), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "s"])
+
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, t1 long, t2 long, s array<long>")
+
+
+def least_overlap(n: int, similarity: float) -> int:
+    """The least number of elements that a set of n shares with any set of the given similarity."""
+    return math.ceil(similarity * n - 1e-6)
+
+
+def prefixes(sets: DataFrame, similarity: float, common=None) -> DataFrame:
+    """h, n, id: of each set (id, s) of n shingles its first ones, as many as it takes that two sets of the given similarity share one.
+
+    The order is by frequency (of the broadcast shingles and frequencies `common`; 0 for all others), then by hash.
+    """
+
+    def run(batches):
+        known, often = common.value if common else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        for b in batches:
+            lists, ends = b.column(1), np.r_[0, np.cumsum(b.column(1).value_lengths().to_numpy())]
+            h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            count = np.zeros(len(h), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                count = np.where(known[at] == h, often[at], 0)
+            hs = []
+            for lo, hi in zip(ends, ends[1:]):
+                n, c = int(hi - lo), count[lo:hi]
+                order = np.argsort(c, kind="stable") if c.any() else np.arange(n)
+                hs.append(h[lo:hi][order[: n - least_overlap(n, similarity) + 1]])
+            sizes = np.diff(ends)
+            lens = np.fromiter(map(len, hs), np.int64, len(hs))
+            columns = [np.concatenate([*hs, np.zeros(0, np.uint64)]).view(np.int64), np.repeat(sizes, lens).astype(np.int64), np.repeat(b.column(0).to_numpy(), lens)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "n", "id"])
+
+    return sets.select("id", "s").mapInArrow(run, "h long, n long, id long")
+
+
+def common_shingles(sets: DataFrame, similarity: float):
+    """The broadcast shingles that many prefixes hold, sorted, and their frequencies; None if there are none."""
+    context, common = sets.sparkSession.sparkContext, None
+    known, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _ in range(COMMON_ROUNDS):
+        counts = prefixes(sets, similarity, common).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON)
+        found = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
+        h, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
+        new = ~np.isin(h, known)
+        if not new.any():
+            break
+        known, often = np.r_[known, h[new]], np.r_[often, n[new]]
+        order = np.argsort(known)
+        known, often = known[order], often[order]
+        common = context.broadcast((known, often))
+    return common
+
+
+def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges a > b of the ids of sets (id, s), enough of them to connect all sets of the given similarity.
+
+    Such sets share a shingle of their prefixes, and neither is smaller than `similarity` of the other; of the sets that share
+    one, sorted by size, each is linked with the next one that is not too large. No pairs are made, so a group of any size
+    costs in proportion to it.
+    """
+    rows = prefixes(sets, similarity, common_shingles(sets, similarity))
+
+    def run(batches):
+        last = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            h, n, i = (np.r_[x, b.column(k).to_numpy()] for k, x in enumerate(last))
+            last = [x[-1:] for x in (h, n, i)]
+            near = (h[1:] == h[:-1]) & (n[:-1] >= similarity * n[1:] - 1e-6) & (i[1:] != i[:-1])
+            a, b = i[1:][near], i[:-1][near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, "id long, s array<long>")
+    return rows.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray]):
@@ -405,43 +462,24 @@ def alike(members: DataFrame, similarity: float, tile: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """doc_id, keeper: the document that stays for each document, itself if it is unlike all others.
 
-    Candidates are linked if their fingerprints (three-word shingles) differ in at most `radius` bits and agree in two of
-    `blocks` blocks, and their sketches are near. Among what such links connect, two documents are alike if their texts
-    are equal or their sets of `width`-word shingles have the given Jaccard similarity. A group is what likeness
-    connects; its smallest doc_id stays. Rows of a null doc_id have no copies; documents without words are copies of
-    each other; of an id given with several texts, any one may stand for it.
+    Two documents are alike if their sets of `width`-word shingles have the given Jaccard similarity. Candidates are linked
+    by prefixes of the sets, which loses no such pair, and are verified among what such links connect. A group is what
+    likeness connects; its smallest doc_id stays. Rows of a null doc_id have no copies; documents without words are copies
+    of each other; of an id given with several texts, any one may stand for it.
     """
     rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = reliable(marked_texts(rows))
-    nodes = reliable(marked.groupBy("fp", "t1", "t2").agg(F.min("doc_id").alias("id"), F.min("s1").alias("s1"), F.min("s2").alias("s2")))
-    found = reliable(connected(spanning_links(nodes, radius, blocks)))
-    members = nodes.join(small(found), nodes.id == found.v).select(F.col("root").alias("g"), "id")
-    members = reliable(members)
-    sets = shingle_sets(rows.withColumnRenamed("doc_id", "id").join(small(members.select("id")), "id", "left_semi").dropDuplicates(["id"]), width)
-    comps = reliable(connected(alike(sets.join(small(members), "id"), similarity, NEAR_TILE)))
-    keepers = nodes.join(small(comps), nodes.id == comps.v, "left").select("fp", "t1", "t2", F.coalesce("root", "id").alias("keeper"))
-    keepers = reliable(keepers)
-    return marked.join(keepers, ["fp", "t1", "t2"]).select("doc_id", "keeper")
-
-
-def marked_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, two hashes of the exact text (t1, t2), and the sketch (s1, s2)."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for x in b.column(1):
-                raw = x.as_py() or b""
-                toks = tokens(raw)
-                h = shingle_hashes(toks, WIDTH) if toks else np.zeros(0, np.uint64)
-                rows.append((majority(h) if toks else 0, xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh64_intdigest(raw, 1) - (1 << 63), *bits_of_extremes(h)))
-            cols = np.array(rows, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in cols)], ["doc_id", "fp", "t1", "t2", "s1", "s2"])
-
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long, t1 long, t2 long, s1 long, s2 long")
+    marked = reliable(shingle_sets(rows, width))
+    nodes = reliable(marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("id")))
+    single = reliable(nodes.groupBy("id").agg(F.min(F.struct("t1", "t2")).alias("t")).select(F.col("id").alias("doc_id"), "t.t1", "t.t2"))
+    sets = marked.join(small(single), ["doc_id", "t1", "t2"], "left_semi").select(F.col("doc_id").alias("id"), "s")
+    found = reliable(connected(prefix_links(sets, similarity)))
+    members = reliable(found.select(F.col("root").alias("g"), F.col("v").alias("id")))
+    comps = reliable(connected(alike(sets.join(small(members), "id").select("g", "id", "s"), similarity, NEAR_TILE)))
+    keepers = reliable(nodes.join(small(comps), nodes.id == comps.v, "left").select("t1", "t2", F.coalesce("root", "id").alias("keeper")))
+    return marked.select("doc_id", "t1", "t2").join(keepers, ["t1", "t2"]).select("doc_id", "keeper")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

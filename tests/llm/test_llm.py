@@ -83,6 +83,36 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_contiguous_edits(spark):
+    rng = random.Random(7)
+    text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(0, 480, 4):
+        base = text(404)
+        rows += [(k, base), (k + 1, base[:324]), (k + 2, base + text(98)), (k + 3, base[:44] + text(360))]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.keeper for r in simhash.near_duplicates(docs).collect()}
+    assert got == {k: k if k % 4 == 3 else k - k % 4 for k, _ in rows}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(9)
+    line = [f"c{k}" for k in range(30)]
+    texts = []
+    for _ in range(60):
+        base = [f"u{rng.randrange(3000)}" for _ in range(rng.randrange(1, 120))]
+        for _ in range(4):
+            cut, more = rng.randrange(len(base) // 4 + 1), rng.randrange(len(base) // 6 + 1)
+            texts.append(" ".join(base[cut:] + [f"x{rng.randrange(3000)}" for _ in range(more)] + line * rng.randrange(3)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    near = [[j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    for _ in texts:
+        root = [min(root[j] for j in js) for js in near]
+    got = {r.doc_id: r.keeper for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     item = " ".join(f"q{rng.randrange(80)}" for _ in range(30))
