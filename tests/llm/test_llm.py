@@ -95,6 +95,16 @@ def test_near_duplicates_of_contiguous_edits(spark):
     assert got == {k: k if k % 4 == 3 else k - k % 4 for k, _ in rows}
 
 
+def test_near_duplicates_of_repeated_lines(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 120, 2):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(k, " ".join(base)), (k + 1, " ".join(base[:40] * 10 + base))]
+    got = {r.doc_id: r.keeper for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(9)
     line = [f"c{k}" for k in range(30)]
