@@ -3,12 +3,12 @@
 Messages carry calls as a JSON list `tool_calls` of {"id", "name", "arguments", "after"?} and results by the
 column `tool_call_id`. A call is linked with the result of its identifier in its conversation. Its place is the
 message that made it; a call that names earlier calls in `after` stands behind each of them: only calls that
-name one of a later or the same message are moved, round by round, until nothing moves. Arguments are checked
+name one of a later or the same message are moved, round by round, until nothing moves. Chains may have any length. Arguments are checked
 against a schema of required and optional names with their types, and the linked exchange is written as JSON with
 sorted names and no white space. Only DataFrame functions are used, and no conversation is gathered in one place.
 
 Defined results (status): `ok`; `invalid` (arguments are no JSON object, miss a required name, or have an unknown
-name or a wrong type); `unknown_tool`; `no_result`; `cyclic` (still moving after `rounds` rounds). The first that
+name or a wrong type); `unknown_tool`; `no_result`; `cyclic` (on a cycle, or moved without end by one). The first that
 applies of cyclic, unknown_tool, invalid, no_result counts. Of several results with one identifier the earliest
 counts, ties by text; of several calls with one identifier too. Results without a call are left out, and so are
 messages of a null conversation or turn; null text is empty; an empty table gives an empty result; extra columns
@@ -17,21 +17,22 @@ are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqweave.llm.common import reliable, small
 
-ROUNDS = 32
 CALLS = "array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 #: name -> (required, optional), each argument name -> type of the JSON value.
 SCHEMAS = {"answer": ({"question": "STRING", "turn": "BIGINT"}, {"short": "BOOLEAN"})}
 
 
-def linked(messages: DataFrame, schemas: dict = SCHEMAS, rounds: int = ROUNDS) -> DataFrame:
+def linked(messages: DataFrame, schemas: dict = SCHEMAS, rounds: int | None = None) -> DataFrame:
     """One row per call: conv_id, call_id, name, place, level, status, json. Order by conv_id, place, level, call_id.
 
-    messages: conv_id, turn, role, text, tool_calls (JSON), tool_call_id.
+    messages: conv_id, turn, role, text, tool_calls (JSON), tool_call_id. More than `rounds` rounds of moving are an error.
     """
     messages = messages.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).withColumn("text", F.coalesce("text", F.lit("")))
     calls = messages.filter(F.col("tool_calls").isNotNull()).select("conv_id", "turn", F.explode(F.from_json("tool_calls", CALLS)).alias("c"))
@@ -78,26 +79,54 @@ def fits(required: dict[str, str], optional: dict[str, str]):
     return ok
 
 
-def ordered(calls: DataFrame, rounds: int) -> DataFrame:
-    """calls with place and level, larger (as a pair) than those of every call named in `after`, and cyclic."""
-    calls = reliable(calls.withColumn("place", F.col("turn")).withColumn("level", F.lit(0)))
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("on")).filter("on is not null").distinct()
+def ordered(calls: DataFrame, rounds: int | None) -> DataFrame:
+    """calls with place and level, larger (as a pair) than those of every call named in `after`, and cyclic.
+
+    The place is the last message of a call and all it stands behind, which settles with cycles too. Among calls of one
+    place the level is one more than that of those named: a call is settled once all it names are, and what never
+    is, is on a cycle or behind one.
+    """
+    key = ["conv_id", "call_id"]
+    calls = reliable(calls.withColumn("place", F.col("turn")))
+    edges = calls.select(*key, F.explode("after").alias("on")).filter("on is not null").distinct()
     edges = reliable(edges)
-    moved = None
-    for k in range(rounds + 1):
-        own = calls.select("conv_id", "call_id", "place", "level")
-        on = own.select("conv_id", F.col("call_id").alias("on"), F.struct("place", (F.col("level") + 1).alias("level")).alias("least"))
-        late = edges.join(own, ["conv_id", "call_id"]).join(on, ["conv_id", "on"]).filter(F.struct("place", "level") < F.col("least"))
-        late = reliable(late.groupBy("conv_id", "call_id").agg(F.max("least").alias("least")))
+    for _ in turns(rounds):
+        own = calls.select(*key, "place")
+        on = own.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("least"))
+        late = edges.join(own, key).join(on, ["conv_id", "on"]).filter("place < least")
+        late = reliable(late.groupBy(*key).agg(F.max("least").alias("least")))
         n = late.count()
-        moved = late.select("conv_id", "call_id", F.lit(True).alias("cyclic"))
-        if not n or k == rounds:
+        if not n:
+            break
+        calls = reliable(calls.join(small(late, n), key, "left").withColumn("place", F.coalesce("least", "place")).drop("least"))
+    own = calls.select(*key, "place")
+    on = own.select("conv_id", F.col("call_id").alias("on"), F.col("place").alias("least"))
+    edges = reliable(edges.join(own, key).join(on, ["conv_id", "on"]).filter("place = least").select(*key, "on"))
+    waiting = reliable(edges.select(*key).distinct().withColumn("level", F.lit(0)))
+    levels, left = [], waiting.count()
+    for _ in turns(rounds):
+        if not left:
+            break
+        blocked = edges.join(small(waiting.select("conv_id", F.col("call_id").alias("on")), left), ["conv_id", "on"], "left_semi").select(*key).distinct()
+        blocked = reliable(blocked)
+        n = blocked.count()
+        if n == left:
             break
-        calls = reliable(
-            calls.join(small(late, n), ["conv_id", "call_id"], "left")
-            .withColumn("place", F.coalesce("least.place", "place")).withColumn("level", F.coalesce("least.level", "level")).drop("least")
-        )
-    return calls.join(small(moved), ["conv_id", "call_id"], "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+        levels.append(reliable(waiting.join(small(blocked, n), key, "left_anti").withColumn("level", F.lit(len(levels) + 1))))
+        waiting, left = blocked.withColumn("level", F.lit(0)), n
+    moved = waiting.withColumn("cyclic", F.lit(True))
+    for level in levels:
+        moved = moved.unionAll(level.withColumn("cyclic", F.lit(False)))
+    moved = reliable(moved)
+    return calls.join(small(moved), key, "left").withColumn("level", F.coalesce("level", F.lit(0))).withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+
+
+def turns(rounds: int | None):
+    """Counts rounds; an error once there are more than `rounds`."""
+    for k in count():
+        if rounds is not None and k > rounds:
+            raise RuntimeError(f"calls did not settle in {rounds} rounds")
+        yield k
 
 
 def as_messages(conversations: DataFrame) -> DataFrame:

@@ -275,6 +275,26 @@ def test_tool_calls(spark):
     assert toolcalls.linked(df.limit(0)).count() == 0
 
 
+def test_tool_calls_in_long_chains_and_behind_cycles(spark):
+    def calls(*named):
+        import json
+
+        return json.dumps([{"id": i, "name": "answer", "arguments": '{"turn": 1, "question": "q"}', "after": list(after)} for i, *after in named])
+
+    chain = [(f"k{k}", f"k{k + 1}") for k in range(33)] + [("k33",)]
+    rows = [
+        (1, 0, calls(*chain)),
+        (3, 0, calls(("a", "b"), ("b", "a"), ("c", "a"))), (3, 1, calls(("d", "a"), ("e", "e"), ("f", "d"))), (3, 2, calls(("g", "c", "e"))),
+    ]
+    df = spark.createDataFrame([(c, t, "assistant", "", x, None) for c, t, x in rows], "conv_id long, turn long, role string, text string, tool_calls string, tool_call_id string")
+    got = {(r.conv_id, r.call_id): r for r in toolcalls.linked(df).collect()}
+    for k in range(34):
+        r = got[1, f"k{k}"]
+        assert (r.status, r.place, r.level) == ("no_result", 0, 33 - k)
+    assert {i for (c, i), r in got.items() if r.status == "cyclic"} == {"a", "b", "c", "e"}
+    assert [(got[3, i].place, got[3, i].level) for i in "dfg"] == [(1, 0), (1, 1), (2, 0)]
+
+
 def test_toxicity_learns_pairs():
     rng = random.Random(1)
     bag = [f"w{k}" for k in range(200)]
