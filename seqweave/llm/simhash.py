@@ -30,8 +30,8 @@ WIDTH, RADIUS = 3, 2
 TILE = 4096
 #: Of near_duplicates(): words in a shingle, least Jaccard similarity, documents in a tile.
 NEAR_WIDTH, NEAR_SIMILARITY, NEAR_TILE = 5, 0.8, 512
-#: Shingles in more prefixes than COMMON stand last in the order of shingles, the COMMON_MOST most frequent ones at least;
-#: they are sought in at most COMMON_ROUNDS rounds. None of these changes the result: any order of shingles is exact.
+#: Shingles in more prefixes than COMMON stand last in the order of shingles; they are sought in at most
+#: COMMON_ROUNDS rounds, up to COMMON_MOST of them a round. None of these changes the result: any order of shingles is exact.
 COMMON, COMMON_MOST, COMMON_ROUNDS = 4, 1_000_000, 3
 STEP = 65_536
 
