@@ -1,3 +1,4 @@
+import json
 import math
 import random
 import zlib
@@ -255,44 +256,62 @@ def test_wrapper_induction(spark):
     assert html.extracted(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+MESSAGES = "conv_id long, turn long, role string, text string, tool_calls string, tool_call_id string, status string"
+
+
 def test_tool_calls(spark):
     def call(i, args, after=(), name="answer"):
-        import json
-
         return json.dumps([{"id": i, "name": name, "arguments": args, "after": list(after)}])
 
     good = '{"turn": 1, "question": "b\\"q"}'
     rows = [
-        (1, 0, "assistant", "", call("a", good, ["b"]), None), (1, 2, "assistant", "", call("b", good), None), (1, 3, "tool", "res", None, "a"), (1, 4, "tool", "later", None, "a"),
+        (1, 0, "assistant", "", call("a", good, ["b", "nowhere"]), None), (1, 2, "assistant", "", call("b", good), None), (1, 3, "tool", "res", None, "a"), (1, 4, "tool", "later", None, "a"),
+        (1, 5, "tool", "lost", None, "zz"), (1, 6, "assistant", "", call("a", good), None), (1, 7, "user", "hi", None, None), (1, 8, "user", "hi", "[{", None), (1, 9, "user", "hi", "[{}, {}]", None), (1, 10, "user", "", "[1]", None),
         (2, 0, "assistant", "", call("a", '{"turn": "1", "question": "x"}'), None), (2, 1, "assistant", "", call("c", good, name="nope"), None), (2, 2, "assistant", "", call("d", "not json"), None),
         (3, 0, "assistant", None, call("a", good, ["b"]), None), (3, 0, "assistant", None, call("b", good, ["a"]), None), (None, 0, "assistant", "", call("a", good), None), (4, None, "x", "y", None, "a"),
+        (5, 0, None, None, None, None), (5, 0, None, None, None, None), (6, 0, "assistant", "", call("a", json.dumps({"text": "x " * 50_000, "to": "en"}), name="translate"), None),
     ]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, tool_calls string, tool_call_id string")
-    got = {(r.conv_id, r.call_id): r for r in toolcalls.linked(df, rounds=4).collect()}
-    assert {k: r.status for k, r in got.items()} == {(1, "a"): "ok", (1, "b"): "no_result", (2, "a"): "invalid", (2, "c"): "unknown_tool", (2, "d"): "invalid", (3, "a"): "cyclic", (3, "b"): "cyclic"}
-    assert (got[1, "a"].place, got[1, "a"].level) == (2, 1) and (got[1, "b"].place, got[1, "b"].level) == (2, 0)
-    assert got[1, "a"].json == '{"arguments":{"question":"b\\"q","turn":1},"id":"a","name":"answer","result":"res"}'
+    df = spark.createDataFrame([(*r, "clash") for r in rows], MESSAGES)
+    out = toolcalls.linked(df).collect()
+    got = Counter((r.conv_id, r.call_id, r.status) for r in out)
+    assert got == Counter({
+        (1, "a", "ok"): 1, (1, "b", "no_result"): 1, (1, "a", "repeated_result"): 1, (1, "zz", "orphan_result"): 1, (1, "a", "repeated_call"): 1, (1, None, "text"): 2, (1, None, "malformed"): 2,
+        (1, None, "no_id"): 2, (2, "a", "invalid"): 1, (2, "c", "unknown_tool"): 1, (2, "d", "invalid"): 1, (3, "a", "cyclic"): 1, (3, "b", "cyclic"): 1, (None, None, "unplaced"): 1, (4, None, "unplaced"): 1,
+        (5, None, "text"): 2, (6, "a", "no_result"): 1,
+    })
+    ok = {(r.conv_id, r.call_id): r for r in out if r.status in ("ok", "no_result")}
+    assert (ok[1, "a"].place, ok[1, "a"].level) == (2, 1) and (ok[1, "b"].place, ok[1, "b"].level) == (2, 0)
+    assert ok[1, "a"].json == '{"arguments":{"question":"b\\"q","turn":1},"id":"a","name":"answer","result":"res"}'
     assert toolcalls.linked(df.limit(0)).count() == 0
 
 
-def test_tool_calls_in_long_chains_and_behind_cycles(spark):
-    def calls(*named):
-        import json
-
-        return json.dumps([{"id": i, "name": "answer", "arguments": '{"turn": 1, "question": "q"}', "after": list(after)} for i, *after in named])
-
-    chain = [(f"k{k}", f"k{k + 1}") for k in range(33)] + [("k33",)]
-    rows = [
-        (1, 0, calls(*chain)),
-        (3, 0, calls(("a", "b"), ("b", "a"), ("c", "a"))), (3, 1, calls(("d", "a"), ("e", "e"), ("f", "d"))), (3, 2, calls(("g", "c", "e"))),
-    ]
-    df = spark.createDataFrame([(c, t, "assistant", "", x, None) for c, t, x in rows], "conv_id long, turn long, role string, text string, tool_calls string, tool_call_id string")
-    got = {(r.conv_id, r.call_id): r for r in toolcalls.linked(df).collect()}
-    for k in range(34):
-        r = got[1, f"k{k}"]
-        assert (r.status, r.place, r.level) == ("no_result", 0, 33 - k)
-    assert {i for (c, i), r in got.items() if r.status == "cyclic"} == {"a", "b", "c", "e"}
-    assert [(got[3, i].place, got[3, i].level) for i in "dfg"] == [(1, 0), (1, 1), (2, 0)]
+def made(rows):
+    return [(c, t, "assistant", "", json.dumps([{"id": i, "name": "answer", "arguments": "{}", "after": after} for i, after in calls]), None, None) for c, t, calls in rows]
+
+
+@pytest.mark.parametrize("local", [toolcalls.LOCAL, 0])
+def test_tool_calls_in_long_chains(spark, local):
+    n = 1000
+    rows = [(1, t, [(f"k{t}", [f"k{t + 1}"])]) for t in range(n)] + [(2, 0, [(f"k{k}", [f"k{k + 1}"]) for k in range(n)])]
+    got = {(r.conv_id, r.call_id): (r.place, r.level) for r in toolcalls.linked(spark.createDataFrame(made(rows), MESSAGES), local=local).collect()}
+    assert got == {(1, f"k{k}"): (n - 1, n - 1 - k) for k in range(n)} | {(2, f"k{k}"): (0, n - 1 - k) for k in range(n)}
+
+
+@pytest.mark.parametrize("local", [toolcalls.LOCAL, 0])
+def test_tool_calls_against_brute_force(spark, local):
+    rng, rows, want = random.Random(5), [], {}
+    for c in range(30):
+        turn = {f"c{k}": rng.randrange(6) for k in range(rng.randrange(2, 14))}
+        after = {i: rng.sample(list(turn), rng.choice([0, 1, 1, 2, 3]) % (len(turn) + 1)) for i in turn}
+        if c % 2:  # no cycles
+            after = {i: [j for j in js if j > i] for i, js in after.items()}
+        rows += [(c, t, [(i, after[i])]) for i, t in turn.items()]
+        key = {}
+        while new := {i: max([(turn[i], 0), *((key[j][0], key[j][1] + 1) for j in after[i])]) for i in turn if i not in key and all(j in key for j in after[i])}:
+            key |= new
+        want |= {(c, i): (*key.get(i, (turn[i], None)), i not in key) for i in turn}
+    got = {(r.conv_id, r.call_id): (r.place, r.level, r.status == "cyclic") for r in toolcalls.linked(spark.createDataFrame(made(rows), MESSAGES), local=local).collect()}
+    assert got == want
 
 
 def test_toxicity_learns_pairs():
