@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -245,17 +246,76 @@ def test_main_text():
     got = html.main_text(page('<nav>menu</nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p>one\n <b>two<br>three</p><aside>side</aside><form>f</form><p>four<section class="comments"><p>spam</p></section></article><footer>end</footer></body>'))
     assert got == "A & B\n\none two three\n\nfour"
     assert html.main_text(page('<div class="page has-x"><div id="sidebar">s</div><p>text &copy 1</p></div><div class="ad')) == "text © 1"
+    kept = html.main_text(page('<div class="layout no-sidebar"><article class="post social-science"><h2 id="related-work">R</h2><h2 id="search">S</h2><p class="notice">N</p><b class="nav">x</b> <b>y</b> <b>z</b> <b>w</b></article></div>'))
+    assert kept == "R\n\nS\n\nN\n\nx y z w"
+    assert html.main_text(page("<main><h1>Title</h1><article><p>one</p></article><p>two</p><ul class='comment-list'><li>spam</li></ul></main>")) == "Title\n\none\n\ntwo"
+
+
+def test_alignment_against_brute_force():
+    rng = random.Random(11)
+
+    def tree(depth):
+        out = [rng.choice("abc"), 0, 1]
+        for _ in range(rng.randrange(5)):
+            out.append(rng.choice("xyz") if depth == 0 or rng.random() < 0.3 else tree(depth - 1))
+        return out
+
+    def best(a, b):
+        """The most nodes that order-preserving pairs of like nodes give, by trying all."""
+        if not isinstance(a, list) or not isinstance(b, list):
+            return 0 if isinstance(a, list) or isinstance(b, list) else 2 if a == b else 1
+        if a[0] != b[0]:
+            return 0
+
+        def rest(i, j):
+            if i == len(a) or j == len(b):
+                return 0
+            return max(rest(i + 1, j), rest(i, j + 1), best(a[i], b[j]) + rest(i + 1, j + 1))
+
+        return 1 + rest(3, 3)
+
+    for _ in range(200):
+        a, b = tree(2), tree(2)
+        assert html.Aligner().weight(a, b) == best(a, b)
+    assert html.rising([(0, 5), (1, 1), (2, 2), (3, 0), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
+
+
+def long_page(k, n, kind):
+    return page("<div>a menu of this site</div>" + "".join(f"<{kind}>t{k} {j} words</{kind}>" + ("<hr>" if kind == "div" else "") for j in range(n)) + "<div>end of page</div>")
+
+
+@pytest.mark.parametrize("kind", ["p", "div"])
+def test_long_pages(kind):
+    pages = [long_page(k, n, kind) for k, n in enumerate((10_000, 9_000, 11_000))]
+    began = time.time()
+    wrapper = html.induced(pages)
+    got = html.main_text(pages[1], wrapper)
+    assert time.time() - began < 20
+    assert got == "\n\n".join(f"t1 {j} words" for j in range(9_000))
+    assert "words" in html.main_text("<div>" * 5000 + "words" + "</div>" * 5000)
 
 
 def test_wrapper_induction(spark):
-    rows = [(k, f"http://h.org/{k}", page(f"<div><div>Welcome to our site, dear reader</div><p>Story {k} {'abc ' * k}</p><p>More of {k}, which goes on for some length and then a little more</p></div>")) for k in range(8)]
-    rows += [(8, "http://one.org/", page("<p>alone</p>")), (9, None, None), rows[0]]
-    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[9] == "" and got[8] == "alone"
-    assert all(got[k] == f"Story {k} {'abc ' * k}".strip() + f"\n\nMore of {k}, which goes on for some length and then a little more" for k in range(8))
+    menu = "<div>" + " ".join(f"Section {k} of our site" for k in range(60)) + "</div>"
+    rows = [(k, f"http://h.org/{k}", page(f"<div>{menu}<div><p>Story {k} {'abc ' * k}</p><p>Shared notice</p><p>More of {k}</p></div><div>All rights reserved</div></div>")) for k in range(9)]
+    copies = [(20 + k, f"http://copies.org/{k}", page(f"<article><p>The same words on every page of it</p></article><div>{k}</div>")) for k in range(5)]
+    rows += [(10, "http://one.org/", page("<p>alone</p>")), (11, None, None), (12, None, page("<p>no url</p>")), rows[0], *copies]
+    got = {r.page_id: r.text for r in html.extracted(spark.createDataFrame([(*r, "clash", "clash") for r in rows], "page_id long, url string, html string, host string, wrapper string")).collect()}
+    assert got[11] == "" and got[10] == "alone" and got[12] == "no url"
+    assert all(got[k] == f"Story {k} {'abc ' * k}".strip() + f"\n\nMore of {k}" for k in range(9))
+    assert all(got[20 + k] == "The same words on every page of it" for k in range(5))
     assert html.extracted(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_induction_without_marks(spark):
+    """Pages whose article, menu, advert and footer are plain divs give the same texts as those that are marked."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").filter("page_id % 3 = 0")
+    plain = F.regexp_replace(F.regexp_replace("html", r"<(/?)(article|nav|footer)\b[^>]*>", "<$1div>"), '<div class="ad">', "<div>")
+    marked = {r.page_id: r.text for r in html.extracted(pages).collect()}
+    got = {r.page_id: r.text for r in html.extracted(pages.withColumn("html", plain)).collect()}
+    assert sum(got[k] == t for k, t in marked.items()) >= 0.99 * len(marked) and all(marked.values())
+
+
 MESSAGES = "conv_id long, turn long, role string, text string, tool_calls string, tool_call_id string, status string"
 
 
