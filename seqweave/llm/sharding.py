@@ -1,14 +1,20 @@
 """Uniform sharding with exact shard sizes by a hypergeometric communication matrix.
 
-Rows lie in source buckets by a hash of their id. Row p of the matrix says how many rows bucket p sends to each
-shard; it is drawn from the multivariate hypergeometric law, so the shards are exactly as full as wanted and all
-assignments of rows to shards are equally likely. Each bucket is permuted by a seeded hash and dealt out by its
-row of the matrix; each shard is permuted again, in ranges of another hash, to number its slots. The matrix has
-a fixed number of cells, whatever the input. Only DataFrame functions touch rows.
-
-Defined results: null text has no bytes and checksum 0; null ids share a bucket; rows that are equal in id and
-text get different slots and are interchangeable; an empty table gives an empty result; extra columns pass
-through, those named as a result's column are replaced.
+A row's key is a hash of all its columns together with its number among rows that are equal in all of them, so copies
+of a document are dealt out apart from each other. Rows lie in source buckets by a hash of that key. Row p of the matrix
+says how many rows bucket p sends to each shard; it is drawn from the multivariate hypergeometric law, so the shards are
+exactly as full as wanted and all assignments of rows to shards are equally likely. Each bucket is permuted by a second
+hash and dealt out by its row of the matrix; each shard is permuted again by a third one, in ranges, to number its slots.
+All that is done on keys alone; rows meet their shard and slot in one join. Only DataFrame functions touch rows.
+
+The numbers of buckets and ranges grow with the rows, so that each stays near PER_BUCKET; the matrix is of buckets x shards.
+Equal rows are numbered in a window; those of more than HOT copies are counted and written out again from one of them, in
+pieces, so no task sees all copies.
+
+Defined results: null text has no bytes and checksum 0; null ids are ids like any other; rows that are equal in all columns
+get different slots and are interchangeable; the result depends on the rows alone, not on their order or files; an empty
+table gives an empty result; extra columns pass through, those named as a result's column are replaced; columns that
+cannot be hashed (maps) are passed through, but do not tell copies apart.
 """
 
 from __future__ import annotations
@@ -21,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import reliable
+from seqweave.llm.common import reliable, small
 
 SHARDS, SEED = 8, 20_240_501
-#: Source buckets, and ranges of slots in a shard.
-BUCKETS, RANGES = 1024, 128
+#: Rows in a source bucket and in a range of slots, if there are at least LEAST (and at most MOST) buckets.
+PER_BUCKET, LEAST, MOST = 1 << 18, 256, 1 << 16
+#: Copies of one row beyond which they are written out in pieces of so many.
+HOT = 10_000
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -61,39 +69,60 @@ def communication_matrix(rows: list[int], columns: list[int], seed: int) -> list
     return out
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def numbered(df: DataFrame, hot: int, spread: list[str]) -> DataFrame:
+    """df (n_ and others) once for each number o_ from 1 to n_; pieces of `hot` numbers are spread by so many columns first."""
+    df = df.withColumn("from_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_"), F.lit(hot).cast("long"))))
+    df = df.repartition(*spread, "from_") if spread else df
+    return df.withColumn("o_", F.explode(F.sequence("from_", F.least(F.col("from_") + (hot - 1), "n_")))).drop("from_")
+
+
+def dealt(groups: DataFrame, n: int, most: int, shards: int, seed: int) -> DataFrame:
+    """k_, o_, shard, slot of every row; groups: k_ and n_, how many rows have it."""
+    spark = groups.sparkSession
+    buckets = min(MOST, max(LEAST, -(-n // PER_BUCKET)))
+    bits = max(5, (buckets // shards).bit_length())  # of a range in a shard
+    keys = numbered(groups, HOT, ["k_"] if most > HOT else []).select("k_", "o_", F.pmod(F.xxhash64("k_", "o_", F.lit(seed)), F.lit(buckets)).cast("int").alias("p_"))
+    keys = reliable(keys)
+    counts = dict(keys.groupBy("p_").agg(F.count("*")).toArrow().to_pandas().itertuples(index=False, name=None))  # a row per bucket
+    matrix = communication_matrix([counts.get(p, 0) for p in range(buckets)], [n // shards + (s < n % shards) for s in range(shards)], seed)
+    ends = json.dumps([np.cumsum(line).tolist() for line in matrix])
+    ends = spark.range(1).select(F.posexplode(F.from_json(F.lit(ends), "array<array<bigint>>")).alias("p_", "ends_"))  # a row per bucket
+    place = W.partitionBy("p_").orderBy(F.xxhash64("k_", "o_", F.lit(seed + 1)), "k_", "o_")
+    keys = keys.withColumn("r_", F.row_number().over(place)).join(F.broadcast(ends), "p_")
+    third = F.xxhash64("k_", "o_", F.lit(seed + 2))
+    keys = keys.select("k_", "o_", F.expr("size(filter(ends_, e -> e < r_))").alias("shard"), third.alias("t_"), F.shiftrightunsigned(third, 64 - bits).cast("int").alias("g_"))
+    keys = reliable(keys)
+    filled = reliable(keys.groupBy("shard", "g_").agg(F.count("*").alias("n_")))
+    before = W.partitionBy("shard").orderBy("g_").rowsBetween(W.unboundedPreceding, -1)
+    starts = filled.select("shard", "g_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    inside = F.row_number().over(W.partitionBy("shard", "g_").orderBy("t_", "k_", "o_"))
+    keys = keys.withColumn("r_", inside).join(F.broadcast(starts), ["shard", "g_"])  # a row per range
+    return keys.select("k_", F.col("o_").alias("number_"), "shard", (F.col("start_") + F.col("r_") - 1).cast("long").alias("slot"))
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, hot: int = HOT) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot, grown_shard; shard sizes are at most one row apart."""
-    spark = docs.sparkSession
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    bucket = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)).cast("int")
-    counts = dict(docs.groupBy(bucket.alias("p")).agg(F.count("*")).collect())  # at most BUCKETS rows
-    n = sum(counts.values())
-    matrix = communication_matrix([counts.get(p, 0) for p in range(BUCKETS)], [n // shards + (s < n % shards) for s in range(shards)], seed)
-    ends = json.dumps([np.cumsum(line).tolist() for line in matrix])
-    dealt = spark.range(1).select(F.posexplode(F.from_json(F.lit(ends), "array<array<bigint>>")).alias("p_", "ends_"))
-
-    def placed(df: DataFrame) -> DataFrame:
-        """df (doc_id, crc_ and others) with shard, and the key of its place in the shard."""
-        place = W.partitionBy("p_").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "crc_")
-        df = df.withColumn("p_", bucket).withColumn("r_", F.row_number().over(place))
-        df = df.join(F.broadcast(dealt), "p_")  # BUCKETS rows
-        df = df.withColumn("shard", F.expr("size(filter(ends_, e -> e < r_))")).drop("ends_", "r_", "p_")
-        key = F.xxhash64("doc_id", F.lit(seed + 2))
-        return df.withColumn("key_", key).withColumn("range_", F.shiftrightunsigned("key_", 57).cast("int"))
-
-    narrow = placed(docs.select("doc_id", F.lit(0).alias("crc_")))  # rows of one id are alike here
-    filled = reliable(narrow.groupBy("shard", "range_").agg(F.count("*").alias("n_")))
-    before = W.partitionBy("shard").orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
-    starts = filled.select(F.col("shard").alias("s_"), F.col("range_").alias("g_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
-    keep = [c for c in docs.columns if c not in new and c not in ("p_", "r_", "key_", "range_")]
-    full = placed(with_size(docs, keep))
-    inside = W.partitionBy("shard", "range_").orderBy("key_", "doc_id", "crc_")
-    full = full.withColumn("r_", F.row_number().over(inside))
-    full = full.join(F.broadcast(starts), (F.col("shard") == F.col("s_")) & (F.col("range_") == F.col("g_")))  # shards x RANGES rows
-    return full.select(
-        *keep, "size", F.col("crc_").alias("text_crc32"), F.lit("rows").alias("law"), "shard",
-        (F.col("start_") + F.col("r_") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    keep = [c for c in docs.columns if c not in new]
+    told = sorted(c for c in keep if not any(t in dict(docs.dtypes)[c] for t in ("map<", "variant")))
+    rows = docs.select(*keep, F.xxhash64(F.lit(seed), *[F.struct(F.col(c).isNull(), c) for c in told]).alias("k_"))
+    groups = reliable(rows.groupBy("k_").agg(F.count("*").alias("n_")))
+    n, most = groups.agg(F.coalesce(F.sum("n_"), F.lit(0)), F.coalesce(F.max("n_"), F.lit(0))).first()
+    slots = dealt(groups, n, most, shards, seed)
+    if most <= 1:
+        rows = rows.withColumn("o_", F.lit(1).cast("long"))
+    else:
+        number = F.row_number().over(W.partitionBy("k_").orderBy("k_")).cast("long")
+        if most <= hot:
+            rows = rows.withColumn("o_", number)
+        else:
+            heavy = reliable(groups.filter(F.col("n_") > hot).select("k_"))
+            hot_rows = rows.join(small(heavy), "k_").groupBy("k_", *keep).agg(F.count("*").alias("n_"))  # a row for each, if hashes differ
+            before = F.coalesce(F.sum("n_").over(W.partitionBy("k_").orderBy(*[F.col(c) for c in told]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+            hot_rows = numbered(hot_rows.withColumn("b_", before), hot, ["k_", "b_"]).withColumn("o_", F.col("o_") + F.col("b_"))
+            rows = rows.join(small(heavy), "k_", "left_anti").withColumn("o_", number).select("k_", *keep, "o_").unionByName(hot_rows.select("k_", *keep, "o_"))
+    out = with_size(rows.join(slots.withColumnRenamed("k_", "key_"), (F.col("k_") == F.col("key_")) & (F.col("o_") == F.col("number_"))), [*keep, "shard", "slot"])
+    return out.select(*keep, "size", F.col("crc_").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def with_size(docs: DataFrame, keep: list[str]) -> DataFrame:

@@ -160,9 +160,30 @@ def test_sharding(spark):
     for r in out:
         raw = (r.text or "").encode()
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
-    again = sharding.sharded(docs.repartition(7)).collect()
-    assert Counter((r.doc_id, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.shard, r.slot) for r in out)
+    again = sharding.sharded(docs.repartition(7), hot=1).collect()
+    assert Counter((r.doc_id, r.text, r.g, r.shard, r.slot) for r in again) == Counter((r.doc_id, r.text, r.g, r.shard, r.slot) for r in out)
     assert sharding.sharded(empty(spark)).count() == 0
+    same = sharding.sharded(spark.createDataFrame([(None, "x", "clash", 7)] * 205, "doc_id long, text string, law string, k long"), hot=30).collect()
+    assert Counter(r.shard for r in same) == Counter({s: 26 if s < 5 else 25 for s in range(8)}) and {r.law for r in same} == {"rows"} and len({(r.shard, r.slot) for r in same}) == 205
+
+
+def test_sharding_deals_uniformly(spark):
+    """Over many seeds, each pair of rows, copies too, is in one shard as often as chance has it, and copies are no neighbours."""
+    docs = spark.createDataFrame([(k // 4, "t") for k in range(24)], "doc_id long, text string")
+    together, beside, seeds = 0, 0, 12
+    shard_of = Counter()
+    for seed in range(seeds):
+        out = sharding.sharded(docs, shards=3, seed=seed).collect()
+        for r in out:
+            shard_of[r.doc_id, r.shard] += 1
+        for i, a in enumerate(out):
+            for b in out[:i]:
+                if a.doc_id == b.doc_id:
+                    together += a.shard == b.shard
+                    beside += a.shard == b.shard and abs(a.slot - b.slot) == 1
+    pairs = seeds * 36  # of copies
+    assert abs(together / pairs - 7 / 23) < 0.08 and abs(beside / pairs - 3 * 7 / (23 * 12)) < 0.06
+    assert all(abs(c / (4 * seeds) - 1 / 3) < 0.25 for c in shard_of.values())
 
 
 def test_mixing(spark):
