@@ -63,6 +63,12 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns of df, nulls told from other values; columns that cannot be hashed (maps) are left out."""
+    told = sorted(c for c, t in df.dtypes if not any(x in t for x in ("map<", "variant")))
+    return F.xxhash64(F.lit(seed), *[F.struct(F.col(c).isNull(), c) for c in told])
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -8,7 +8,8 @@ containment of shingle strings. Only DataFrame functions are used.
 
 Defined results: items without words match nothing; items of fewer words than a shingle are one shingle of
 their own width; null and empty texts hold nothing; a document given in several rows holds what any of its rows
-holds; rows of null ids are not searched, as nothing could name them; repeated items are merged by id.
+holds; rows of null ids are searched too, reported together under a null doc_id, and each stays or goes by its own text;
+repeated items are merged by id; items of null ids are left out; extra columns are ignored, and kept by clean().
 """
 
 from __future__ import annotations
@@ -57,26 +58,38 @@ def sketches(sets: DataFrame, widths: list[int], containment: float) -> DataFram
     return sets.select("item_id", F.explode(F.slice(F.sort_array(by_width), F.lit(1), length)).alias("h"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_shared, containment of every pair at or above the containment."""
-    docs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+def held(docs: DataFrame, items: DataFrame, width: int, containment: float) -> DataFrame:
+    """doc_id, k1, item_id, n_shingles, n_shared, containment of the rows of docs (doc_id, k1, text) and items at or above the containment.
+
+    k1 is a hash that names rows; rows that share one are each verified by their own text.
+    """
+    docs = docs.select("doc_id", "k1", "text")
     sets = reliable(item_sets(items, width))
     widths = sorted(r[0] for r in sets.select("width").distinct().collect()) or [width]
     index = reliable(sketches(sets, widths, containment).distinct())
-    held = docs.select("doc_id", F.explode(let(words(F.col("text")), lambda w: hashes(w, widths))).alias("h"))
-    found = reliable(held.join(small(index), "h").select("doc_id", "item_id").distinct())
-    by_doc = reliable(found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items")))
-    pairs = docs.join(small(by_doc), "doc_id").select("doc_id", "text", F.explode("items").alias("item_id")).join(small(sets), "item_id")
+    found = docs.select("k1", F.explode(let(words(F.col("text")), lambda w: hashes(w, widths))).alias("h"))
+    found = reliable(found.join(small(index), "h").select("k1", "item_id").distinct())
+    by_row = reliable(found.groupBy("k1").agg(F.collect_set("item_id").alias("items")))
+    pairs = docs.join(small(by_row), "k1").select("doc_id", "k1", "text", F.explode("items").alias("item_id")).join(small(sets), "item_id")
     shared = let(words(F.col("text")), lambda w: F.size(F.array_intersect("s", shingles(w, F.col("width")))))
-    pairs = pairs.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
-    pairs = pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= containment)
+    pairs = pairs.select("doc_id", "k1", F.crc32(F.col("text").cast("binary")).alias("k2"), "item_id", F.col("n").cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
+    return pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= containment)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_shared, containment of every pair at or above the containment."""
+    pairs = held(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), "text"), items, width, containment)
     return pairs.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_shared").alias("n_shared"), F.max("containment").alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    bad = reliable(contaminated(docs, items, width, containment).select(F.col("doc_id").alias("bad_id_")).distinct())
-    return docs.join(small(bad), F.col("doc_id") == F.col("bad_id_"), "left_anti")
+    """The rows of docs that hold no item, with all their columns; a row of null id is named by two hashes of its text."""
+    k1 = F.xxhash64("doc_id", "text")
+    bad = held(docs.select("doc_id", k1.alias("k1"), "text"), items, width, containment)
+    named = F.col("doc_id").isNotNull()
+    own = F.when(~named, F.struct(k1, F.crc32(F.col("text").cast("binary"))))
+    bad = reliable(bad.select(F.col("doc_id").alias("bad_id_"), F.when(~named, F.struct("k1", "k2")).alias("bad_key_")).distinct())
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("bad_id_")) & own.eqNullSafe(F.col("bad_key_")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import reliable, small
+from seqweave.llm.common import reliable, row_hash, small
 
 SHARDS, SEED = 8, 20_240_501
 #: Rows in a source bucket and in a range of slots, if there are at least LEAST (and at most MOST) buckets.
@@ -105,7 +105,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, hot: int =
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     keep = [c for c in docs.columns if c not in new]
     told = sorted(c for c in keep if not any(t in dict(docs.dtypes)[c] for t in ("map<", "variant")))
-    rows = docs.select(*keep, F.xxhash64(F.lit(seed), *[F.struct(F.col(c).isNull(), c) for c in told]).alias("k_"))
+    rows = docs.select(*keep, row_hash(docs.select(*keep), seed).alias("k_"))
     groups = reliable(rows.groupBy("k_").agg(F.count("*").alias("n_")))
     n, most = groups.agg(F.coalesce(F.sum("n_"), F.lit(0)), F.coalesce(F.max("n_"), F.lit(0))).first()
     slots = dealt(groups, n, most, shards, seed)

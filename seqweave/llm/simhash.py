@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import reliable, small
+from seqweave.llm.common import discard, reliable, row_hash, small
 
 WIDTH, RADIUS = 3, 2
 #: Fingerprints in a tile.
@@ -282,7 +282,8 @@ def spanning_links(nodes: DataFrame, radius: int, blocks: int, tile: int = TILE)
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """v, root of every vertex of the edges (a, b): its component's smallest vertex.
 
-    Alternating large-star and small-star rounds, each written to the checkpoint folder, until nothing changes.
+    Alternating large-star and small-star rounds, each written to the shared folder, until nothing changes; the number of
+    rounds grows with the logarithm of the longest path.
     """
     edges = reliable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
 
@@ -299,7 +300,9 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = out.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return reliable(out.filter("a <> b").distinct())
+        out = reliable(out.filter("a <> b").distinct())
+        discard(e, least)
+        return out
 
     before = mark(edges)
     for _ in range(rounds):
@@ -330,16 +333,17 @@ def near_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, t1, t2, s: the sorted distinct 64-bit hashes of a text's shingles (s), and two hashes of s."""
+    """doc_id, key, t1, t2, s: the sorted distinct 64-bit hashes of a text's shingles (s), and two hashes of s."""
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) if (t := tokens(x.as_py())) else np.zeros(0, np.int64) for x in b.column(1)]
+            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) if (t := tokens(x.as_py())) else np.zeros(0, np.int64) for x in b.column(2)]
             t1 = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
             t2 = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(t1), pa.array(t2), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "t1", "t2", "s"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(t1), pa.array(t2), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "key", "t1", "t2", "s"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, t1 long, t2 long, s array<long>")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key long, t1 long, t2 long, s array<long>")
 
 
 def least_overlap(n: int, similarity: float) -> int:
@@ -463,23 +467,38 @@ def alike(members: DataFrame, similarity: float, tile: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """doc_id, keeper: the document that stays for each document, itself if it is unlike all others.
+    """doc_id, key, keeper, keeper_key: of every row, the row that stays for it, itself if it is unlike all others.
 
     Two documents are alike if their sets of `width`-word shingles have the given Jaccard similarity. Candidates are linked
     by prefixes of the sets, which loses no such pair, and are verified among what such links connect. A group is what
-    likeness connects; its smallest doc_id stays. Rows of a null doc_id have no copies; documents without words are copies
-    of each other; of an id given with several texts, any one may stand for it.
+    likeness connects; the row of the smallest doc_id stays, null last, then that of the smallest key, a hash of all
+    columns. Documents without words are copies of each other.
     """
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = reliable(shingle_sets(rows, width))
-    nodes = reliable(marked.groupBy("t1", "t2").agg(F.min("doc_id").alias("id")))
-    single = reliable(nodes.groupBy("id").agg(F.min(F.struct("t1", "t2")).alias("t")).select(F.col("id").alias("doc_id"), "t.t1", "t.t2"))
-    sets = marked.join(small(single), ["doc_id", "t1", "t2"], "left_semi").select(F.col("doc_id").alias("id"), "s")
+    rows = docs.select("doc_id", row_hash(docs).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    marked = reliable(shingle_sets(rows, width).withColumn("row", F.monotonically_increasing_id()))
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key", "row")).alias("rep")
+    nodes = reliable(marked.groupBy("t1", "t2").agg(rep).withColumn("id", F.monotonically_increasing_id()))
+    one = nodes.select("id", F.col("rep.row").alias("row"))
+    sets = marked.select("row", "s").join(small(one), "row").select("id", "s")
     found = reliable(connected(prefix_links(sets, similarity)))
     members = reliable(found.select(F.col("root").alias("g"), F.col("v").alias("id")))
     comps = reliable(connected(alike(sets.join(small(members), "id").select("g", "id", "s"), similarity, NEAR_TILE)))
-    keepers = reliable(nodes.join(small(comps), nodes.id == comps.v, "left").select("t1", "t2", F.coalesce("root", "id").alias("keeper")))
-    return marked.select("doc_id", "t1", "t2").join(keepers, ["t1", "t2"]).select("doc_id", "keeper")
+    member = reliable(comps.join(nodes.select("id", "rep"), F.col("v") == F.col("id")).select("root", "v", "rep"))
+    best = reliable(member.join(member.groupBy("root").agg(F.min("rep").alias("best")), "root").select(F.col("v").alias("id"), "best"))
+    keepers = reliable(nodes.join(small(best), "id", "left").select("t1", "t2", F.coalesce("best", "rep").alias("best")))
+    out = marked.select("doc_id", "key", "t1", "t2").join(keepers, ["t1", "t2"])
+    return out.select("doc_id", "key", F.col("best.doc_id").alias("keeper"), F.col("best.key").alias("keeper_key"))
+
+
+def deduplicated(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """The rows of docs that stay, one of each group of near-duplicates, all columns; of rows equal in all of them, one."""
+    found = near_duplicates(docs, width, similarity)
+    stays = F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("key") == F.col("keeper_key"))
+    found = reliable(found.groupBy(F.col("doc_id").alias("d_"), F.col("key").alias("k_")).agg(F.min(stays).alias("stays"), F.count("*").alias("n")))
+    gone = reliable(found.filter("not stays").select("d_", "k_"))
+    kept = docs.withColumn("key_", row_hash(docs))
+    kept = kept.join(small(gone), F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("key_") == F.col("k_")), "left_anti").drop("key_")
+    return kept.dropDuplicates() if found.filter("n > 1 and stays").limit(1).count() else kept
 
 
 def query(spark, sf_dir: str) -> DataFrame:

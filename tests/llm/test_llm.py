@@ -81,10 +81,30 @@ def test_near_duplicates(spark):
     near = [w if k not in (50, 150) else "changed" for k, w in enumerate(base)]
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(rng.choices(base, k=200))), (5, None), (6, ""), (None, " ".join(base))]
     got = {r.doc_id: r.keeper for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, None: 1}
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_deduplicated(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(None, a, 2), (None, a, 1), (None, a, 1), (3, b, 1), (3, b, 1), (3, a + " z", 5), (4, None, 1), (None, "", 1), (None, b + " y", 1), (9, "own words here", 1), (9, "other words there", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long")
+    for df in (docs, docs.repartition(3)):
+        out = simhash.deduplicated(df)
+        assert out.columns == docs.columns
+        assert Counter(map(tuple, out.collect())) == Counter([(3, b, 1), (3, a + " z", 5), (4, None, 1), (9, "own words here", 1), (9, "other words there", 1)])
+    assert simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_components_of_long_paths(spark):
+    n = 3000
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    edges = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(n + k, n) for k in range(1, 500)], "a long, b long")
+    got = {r.v: r.root for r in simhash.connected(edges).collect()}
+    assert got == {k: 0 if k < n else n for k in range(n + 500)}
+
+
 def test_near_duplicates_of_contiguous_edits(spark):
     rng = random.Random(7)
     text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
@@ -130,13 +150,13 @@ def test_decontamination(spark):
     item = " ".join(f"q{rng.randrange(80)}" for _ in range(30))
     long = " ".join(f"x{rng.randrange(500)}" for _ in range(3000))
     w = item.split()
-    rows = [(1, long + " " + item.upper() + " " + long), (2, long), (3, None), (4, ""), (5, "tiny item"), (6, " ".join(w[:3] + ["no"] + w[4:])), (7, " ".join(w[:12])), (None, item), (1, long)]
+    rows = [(1, long + " " + item.upper() + " " + long), (2, long), (3, None), (4, ""), (5, "tiny item"), (6, " ".join(w[:3] + ["no"] + w[4:])), (7, " ".join(w[:12])), (None, item), (None, long), (None, None), (1, long)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, " ")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.contaminated(docs, items).collect()}
-    assert got == {(1, 1): 1.0, (5, 2): 1.0, (6, 1): 22 / 26}
+    assert got == {(1, 1): 1.0, (5, 2): 1.0, (6, 1): 22 / 26, (None, 1): 1.0}
     left = decontaminate.clean(docs, items)
-    assert Counter(r.doc_id for r in left.collect()) == Counter([2, 3, 4, 7, None]) and left.columns == docs.columns
+    assert Counter(r.doc_id for r in left.collect()) == Counter([2, 3, 4, 7, None, None]) and left.columns == docs.columns
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
