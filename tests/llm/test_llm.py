@@ -263,19 +263,38 @@ def test_cascade_is_exact(spark):
     assert (urlfilter.member(c, both.h1.to_numpy(), both.h2.to_numpy()) == (both.key.astype(int) % 7 == 0)).all()
 
 
+def brute_top(rows, k=10, every=100):
+    v = [(i, [math.floor(1024 * x) for x in e]) for i, e, *_ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = []
+    for q in {i for i, _ in v if i % every == 0}:
+        scores = []
+        for x in {tuple(e) for i, e in v if i == q}:
+            scores += [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), i) for i, y in v if i != q]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(want)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     rows = [(k, [float(x) for x in rng.normal(0, 0.3, 8)], 0) for k in range(500)]
     rows[3] = (3, rows[100][1], 0)
-    rows += [(700, None, 0), (800, [float("nan")] * 8, 0), (900, [None] * 8, 0), (None, rows[0][1], 0), rows[5], (1000, [], 0)]
+    rows += [(700, None, 0), (800, [float("nan")] * 8, 0), (900, [None] * 8, 0), (None, rows[0][1], 0), rows[5], rows[5], rows[200], (300, rows[7][1], 0), (1000, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")
-    v = {k: [math.floor(1024 * x) for x in e] for k, e, _ in rows if k is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)}
-    want = []
-    for q in (k for k in v if k % 100 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(v[q], x)), k) for k, x in v.items() if k != q)[:10]
-        want += [(q, r, k, -s) for r, (s, k) in enumerate(scores, 1)]
-    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == brute_top(rows)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+    huge = [(k, [float(x * 10.0 ** rng.integers(0, 12)) for x in e], 0) for k, e, _ in rows[:200]]
+    df = spark.createDataFrame(huge, "vec_id long, embedding array<double>, score int")
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == brute_top(huge)
+
+
+def test_top_k_prunes_clusters(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (40, 16)) * 4
+    rows = [(k, [float(x) for x in centres[k % 40] + rng.normal(0, 0.05, 16)]) for k in range(4000)]
+    report = {}
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 7 == 0, report=report)
+    assert sorted(tuple(r) for r in out.collect()) == brute_top(rows, every=7)
+    assert report["groups"] >= 5 and report["copies"] < 0.6 * report["groups"] * report["vectors"]
 
 
 def page(body):
