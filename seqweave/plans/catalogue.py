@@ -17,7 +17,7 @@ from seqweave.functions import symbols as S
 from seqweave.operators import index as I
 from seqweave.operators import matching as M
 from seqweave.operators import suffixes
-from seqweave.plans import strategies
+from seqweave.plans import folds, strategies
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -94,6 +94,10 @@ _VALUES = "v AS (SELECT user_id AS input_id, list(CAST(round(value * 100) AS BIG
 _ORDERS = "o AS (SELECT l_orderkey AS input_id, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber, CAST(l_quantity AS BIGINT)) AS symbols FROM lineitem GROUP BY 1)"
 _BITS = "b AS (SELECT CAST(0 AS BIGINT) AS vec_id, CAST(event_id AS BIGINT) AS pos, CAST(event_type = 'purchase' AS INTEGER) AS bit FROM events)"
 _LENS = "l AS (SELECT CAST(0 AS BIGINT) AS vec_id, doc_id AS idx, n_chars % 16 AS len FROM documents)"
+_AUTOMATIC = f"WITH RECURSIVE {_MATCH}, {folds.adaptive(4, 14, 16, 2)}"
+_SPACE = "SELECT count(*) AS n, count(*) FILTER (is_block) AS b, sum(lit_len) AS l FROM f"
+_DIFFERENCES = f"{_VALUES.replace('v AS', 'a AS')}, z AS (SELECT list(CAST(round(value * 100) AS BIGINT) ORDER BY ts, event_id) AS symbols FROM events WHERE user_id = (SELECT min(user_id) FROM events)), {folds.DIFFERENCES}"
+_DIFFERENTIAL = f"WITH RECURSIVE {_DIFFERENCES}, {folds.differential()}"
 _ORIGINAL = f"WITH {_TEXT} SELECT input_id, text FROM i"
 
 
@@ -120,7 +124,7 @@ def maximal_exact_matches(spark, d):
     return M.maximal_matches(*texts(spark, d), 8)
 
 
-@query()
+@query(f"WITH {_DIFFERENCES} SELECT input_id, pos, ptr, len FROM m")
 def diff_match_stats(spark, d):
     inputs, ref = (x.withColumn("symbols", S.difference(F.col("symbols"))) for x in values(spark, d))
     return M.matches_long(M.matches_wide(inputs, M.reference_symbols(ref)))
@@ -135,19 +139,19 @@ def parse_classic(spark, d):
     return I.events_of(M.matches_wide(inputs, M.reference_symbols(ref)), "classic")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MATCH}, {folds.threshold()} {folds.EVENTS}")
 def parse_threshold(spark, d):
     inputs, ref = texts(spark, d)
     return I.events_of(M.matches_wide(inputs, M.reference_symbols(ref)), "threshold")
 
 
-@query()
+@query(f"WITH RECURSIVE {_MATCH}, {folds.adaptive(8, 30, 15, 1)} {folds.EVENTS}")
 def parse_adaptive(spark, d):
     inputs, ref = texts(spark, d)
     return I.events_of(M.matches_wide(inputs, M.reference_symbols(ref)), "adaptive", **strategies.parametric())
 
 
-@query()
+@query(f"{_AUTOMATIC} {folds.EVENTS}")
 def parse_adaptive_auto(spark, d):
     inputs, ref = texts(spark, d)
     return I.events_of(M.matches_wide(inputs, M.reference_symbols(ref)), "adaptive", **strategies.automatic())
@@ -159,28 +163,28 @@ def phrases_classic(spark, d):
     return index(spark, d, "classic").phrases.select("input_id", "subphrase", "start", "copy_len", "lit_len", "target", "delta")
 
 
-@query()
+@query(f"{_AUTOMATIC}, {folds.phrases()} SELECT {folds.PHRASES} FROM f")
 def phrases_adaptive(spark, d):
     return index(spark, d, "automatic").phrases.drop("lits")
 
 
-@query()
+@query(f"{_DIFFERENTIAL}, {folds.difference_phrases()} SELECT {folds.PHRASES} FROM f")
 def phrases_differential(spark, d):
     return index(spark, d, "differential").phrases.drop("lits")
 
 
-@query()
+@query(f"{_AUTOMATIC}, {folds.phrases(3)} SELECT input_id, subphrase, start, copy_len, lit_len, lit_offset FROM f")
 def literal_split(spark, d):
     c = strategies.config("automatic")
     return I.encode(*texts(spark, d), I.IndexConfig(**{**c.__dict__, "literal_bits": 2})).phrases.select("input_id", "subphrase", "start", "copy_len", "lit_len", "lit_offset")
 
 
-@query()
+@query(f"{_DIFFERENTIAL}, {folds.difference_phrases(limit=16)} SELECT input_id, phrase, CAST(sum(copy_len + lit_len) AS BIGINT) AS length FROM f GROUP BY 1, 2")
 def phrase_limit_split(spark, d):
     return index(spark, d, "differential", limit=16).phrases.groupBy("input_id", "phrase").agg(F.sum(F.col("copy_len") + F.col("lit_len")).alias("length"))
 
 
-@query()
+@query(f"{_AUTOMATIC}, {folds.phrases()} SELECT input_id, subphrase, phrase, block_ptr + diff AS pointer FROM f")
 def block_pointers(spark, d):
     return index(spark, d, "automatic").pointers()
 
@@ -202,10 +206,10 @@ def phrase_count(spark, d):
     return index(spark, d, "classic").counts().select("input_id", "subphrases")
 
 
-@query(f"WITH {_TEXT}, p AS (SELECT input_id, text, unnest(range(0, length(text), 7)) AS pos FROM i) SELECT input_id, pos, CAST(ascii(substr(text, pos + 1, 1)) AS BIGINT) AS sym FROM p")
+@query(f"WITH {_TEXT}, p AS (SELECT input_id, text, unnest(range(0, length(text))) AS pos FROM i) SELECT input_id, pos, CAST(ascii(substr(text, pos + 1, 1)) AS BIGINT) AS sym FROM p")
 def symbol_at(spark, d):
     inputs, _ = texts(spark, d)
-    at = inputs.filter(F.size("symbols") > 0).select("input_id", F.explode(F.sequence(F.lit(0), F.size("symbols") - 1, F.lit(7))).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
+    at = inputs.filter(F.size("symbols") > 0).select("input_id", F.explode(F.sequence(F.lit(0), F.size("symbols") - 1)).alias("pos")).withColumn("pos", F.col("pos").cast("long"))
     return index(spark, d, "automatic").symbol_at(at)
 
 
@@ -301,7 +305,7 @@ def reuse_matches(spark, d):
     return as_text(I.encode(inputs, ref, strategies.config("threshold"), found).decode())
 
 
-@query()
+@query(f"{_AUTOMATIC}, {folds.phrases()}, {folds.STATISTICS}")
 def parse_stats(spark, d):
     return I.statistics(index(spark, d, "automatic"))
 
@@ -312,7 +316,8 @@ def space_breakdown(spark, d):
     return I.space(index(spark, d, "classic"))
 
 
-@query()
+@query(f"""{_AUTOMATIC}, {folds.phrases()}, c AS ({_SPACE}) SELECT '{{"name":"index","bits":' || CAST(n * 14 + b * 28 + l * 32 AS BIGINT) || ',"children":[{{"component":"boundaries","bits":' || n * 2 || '}},{{"component":"differences","bits":' || (n - b) * 4
+|| '}},{{"component":"literal_lengths","bits":' || n * 8 || '}},{{"component":"literals","bits":' || CAST(l * 32 AS BIGINT) || '}},{{"component":"pointers","bits":' || b * 32 || '}}]}}' AS json FROM c""")
 def space_tree(spark, d):
     return I.size_tree(index(spark, d, "automatic"))
 
