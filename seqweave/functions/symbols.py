@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +15,13 @@ def difference(x: Column) -> Column:
 
 
 def undo_difference(x: Column) -> Column:
-    start = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(x, start, lambda a, v: F.struct((a.s + v).alias("s"), F.concat(a.out, F.array(a.s + v)).alias("out")), lambda a: a.out)
+    """Running sums of an array, in one pass over it; nulls stay null and add nothing."""
+
+    @F.pandas_udf("array<bigint>")
+    def sums(column: pd.Series) -> pd.Series:
+        return column.map(lambda v: None if v is None else np.cumsum(np.asarray(v, np.int64)))
+
+    return sums(x)
 
 
 def difference_rows(key: str, order: list[str], value: str) -> Column:
@@ -34,15 +41,6 @@ def retarget(pos: Column, pointer: Column, n: Column, bits: int) -> Column:
     return F.when((t >= 0) & (t <= n), t).when(t < 0, t + (1 << bits)).otherwise(t - (1 << bits))
 
 
-def fits(v: Column, bits: int) -> Column:
-    return v.between(-(1 << bits - 1), (1 << bits - 1) - 1)
-
-
-def is_relative(expected: Column, target: Column, bits: int) -> Column:
-    d = target - expected
-    return (d > -(1 << bits) - 1) & (d < 1 << bits)
-
-
 #: Codes of the letters, fixed values; N is kept as a marker.
 DNA = {"A": 0, "C": 1, "G": 3, "T": 2}
 
@@ -113,6 +111,11 @@ def render(symbols: Column, text: bool) -> Column:
     return F.array_join(F.transform(symbols, lambda c: F.chr(c) if text else c.cast("string")), "" if text else " ")
 
 
+def unshifted_alphabet(df: DataFrame, shifted: str, least: int) -> DataFrame:
+    """df with `v`: the values before shifted_alphabet(), of which the least was `least`."""
+    return df.withColumn("v", F.col(shifted) + (least - 1 if least < 1 else 0))
+
+
 def shifted_alphabet(df: DataFrame, value: str) -> DataFrame:
     """df with `shifted`: values moved so that the least is 1, if it is below."""
     least = df.agg(F.min(value).alias("least_"))

@@ -62,22 +62,28 @@ def pieces(events: Iterable[Event], rules: Iterable[Rule]) -> Iterable[Piece]:
             source, target, copy, lit = source + c + now, target + c, copy - c, lit - now
 
 
-def in_blocks(found: Iterable[Piece], low: int, high: int) -> Iterable[Piece]:
-    """Marks the pieces that start a block: the first, and copies whose pointer differs from the block's by less than `low`
-    or more than `high`."""
-    pointer = None
+#: A rule that takes a block's pointer and the next piece, and says whether that starts a new block.
+Split = Callable[[int, Piece], bool]
+
+
+def in_blocks(found: Iterable[Piece], low: int, high: int, also: Iterable[Split] = ()) -> Iterable[Piece]:
+    """Marks the pieces that start a block: the first, copies whose pointer differs from the block's by less than `low`
+    or more than `high`, and those for which any rule of `also` says so."""
+    pointer, also = None, list(also)
     for p in found:
-        if pointer is None or p.copy_len and not low <= p.delta - pointer <= high:
+        if pointer is None or p.copy_len and not low <= p.delta - pointer <= high or any(f(pointer, p) for f in also):
             p.block, pointer = True, p.delta
         yield p
 
 
-def committed(events: Iterable[Event], symbols: list[int], diff_bits: int = 4, cap: int = 255, most_copy: int | None = None, more: Iterable[Rule] = ()) -> list[tuple]:
+def committed(
+    events: Iterable[Event], symbols: list[int], diff_bits: int = 4, cap: int = 255, most_copy: int | None = None, more: Iterable[Rule] = (), also: Iterable[Split] = ()
+) -> list[tuple]:
     """Rows of the phrase table, without the input's id. diff_bits 0: every change of pointer starts a block."""
     rules = [literal_cap(cap), *([copy_cap(most_copy)] if most_copy else []), *more]
     low, high = (-(1 << diff_bits - 1), (1 << diff_bits - 1) - 1) if diff_bits else (0, 0)
     out, phrase, pointer, offset = [], -1, 0, 0
-    for k, p in enumerate(in_blocks(pieces(events, rules), low, high)):
+    for k, p in enumerate(in_blocks(pieces(events, rules), low, high, also)):
         if p.block:
             phrase, pointer = phrase + 1, p.delta
         lit_at = p.start + p.copy_len

@@ -6,17 +6,26 @@ where it does; len 0 and no ptr if the symbol does not occur. Two plans give the
 * automaton: the reference is broadcast, each input is read once against its suffix automaton, in linear time and
   without a shuffle. For references of up to AUTOMATON_SYMBOLS symbols.
 * seed join: k-grams of inputs and reference are joined, hits on one diagonal that follow each other are islands, an
-  island is a maximal match. Matches shorter than k are not seen. For any size; the shuffle is spread by k-gram.
+  island is a maximal match. Matches shorter than k are not seen. For any size; sequences are cut in chunks, and the
+  shuffle is spread by k-gram. A k-gram that repeats gives a hit for each pair of places, so k should be long enough for
+  the reference's repeats.
+
+A reference is one row (symbols), or, if it is long, rows (chunk, symbols) of equal length but for the last.
+Defined results: null symbols match nothing; empty inputs have no positions; repeated inputs each have their rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 AUTOMATON_SYMBOLS = 500_000
+#: Symbols in a chunk of a sequence.
+CHUNK = 1024
 
 
 class Automaton:
@@ -76,6 +85,23 @@ class Automaton:
         return ptr, lens
 
 
+_KEPT: dict[str, Automaton] = {}
+
+
+def automaton(name: str, reference) -> Automaton:
+    """The automaton of the reference of this name, built once for each Python worker, which keeps the last one."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Automaton(reference())
+    return _KEPT[name]
+
+
+def sparse(matches: DataFrame) -> DataFrame:
+    """input_id, pos, ptr, len: the rows of matches gathered in arrays, one row per input."""
+    m = F.sort_array(F.collect_list(F.struct("pos", "ptr", "len")))
+    return matches.groupBy("input_id").agg(m.alias("m")).select("input_id", "m.pos", "m.ptr", "m.len")
+
+
 def symbols_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """input_id, symbols: a text column as code points; null ids and null texts are left out."""
     codes = F.transform(F.split(F.col(text), ""), lambda c: F.ascii(c).cast("long"))
@@ -84,22 +110,50 @@ def symbols_of(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def chunked(sequences: DataFrame, *keys: str, more: int = 0) -> DataFrame:
+    """keys, chunk, symbols: sequences (keys, symbols) in chunks of CHUNK symbols, each with `more` of those behind it."""
+    starts = F.sequence(F.lit(0), F.floor((F.size("symbols") - 1) / CHUNK).cast("int"))
+    rows = sequences.filter(F.size("symbols") > 0).select(*keys, "symbols", F.explode(starts).alias("chunk"))
+    return rows.select(*keys, F.col("chunk").cast("long").alias("chunk"), F.slice("symbols", F.col("chunk") * CHUNK + 1, F.lit(CHUNK + more)).alias("symbols"))
+
+
+def reference_chunks(reference: DataFrame, more: int = 0) -> DataFrame:
+    """chunk, symbols: a reference in chunks of CHUNK symbols, each with `more` (at most CHUNK) of those behind it."""
+    if "chunk" not in reference.columns:
+        return chunked(reference, more=more)
+    longest = reference.agg(F.max(F.size("symbols"))).first()[0] or CHUNK
+    if longest % CHUNK and reference.count() > 1:
+        raise ValueError(f"chunks of a reference hold a multiple of {CHUNK} symbols")
+    small = chunked(reference.withColumnRenamed("chunk", "large"), "large")
+    small = small.select((F.col("large") * (longest // CHUNK) + F.col("chunk")).alias("chunk"), "symbols")
+    if not more:
+        return small
+    behind = small.select((F.col("chunk") - 1).alias("chunk"), F.slice("symbols", 1, more).alias("next"))
+    return small.join(behind, "chunk", "left").select("chunk", F.concat("symbols", F.coalesce("next", F.array().cast("array<bigint>"))).alias("symbols"))
+
+
+def reference_size(reference: DataFrame) -> int:
+    n, total = reference.agg(F.count("*"), F.coalesce(F.sum(F.size("symbols")), F.lit(0))).first()
+    if n != 1 and "chunk" not in reference.columns:
+        raise ValueError(f"a reference is one sequence, not {n}")
+    return total
+
+
 def reference_symbols(reference: DataFrame, most: int = AUTOMATON_SYMBOLS) -> list[int]:
-    """The one row of reference (symbols), whose size is checked before it comes to the driver."""
-    n = reference.select(F.size("symbols")).collect()
-    if len(n) != 1:
-        raise ValueError(f"a reference is one sequence, not {len(n)}")
-    if n[0][0] > most:
-        raise ValueError(f"a reference of {n[0][0]} symbols is beyond {most}; use the seed join")
-    return list(reference.first()["symbols"])
+    """The symbols of a reference, whose size is checked before they come to the driver."""
+    n = reference_size(reference)
+    if n > most:
+        raise ValueError(f"a reference of {n} symbols is beyond {most}; use the seed join")
+    parts = reference.orderBy("chunk") if "chunk" in reference.columns else reference
+    return [x for r in parts.select("symbols").collect() for x in r[0]]
 
 
 def matches_wide(inputs: DataFrame, reference: list[int]) -> DataFrame:
     """input_id, symbols, ptr, len: one row per input with arrays over its positions."""
-    shared = inputs.sparkSession.sparkContext.broadcast(reference)
+    shared, name = inputs.sparkSession.sparkContext.broadcast(reference), uuid.uuid4().hex
 
     def run(batches):
-        machine = Automaton(shared.value)
+        machine = automaton(name, lambda: shared.value)
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1)
@@ -122,8 +176,12 @@ def grams(symbols: Column, k: int) -> Column:
 
 def maximal_matches(inputs: DataFrame, reference: DataFrame, k: int = 2) -> DataFrame:
     """input_id, start, ptr, len of every exact match of at least k symbols that cannot be extended to either side."""
-    left = inputs.select("input_id", F.inline(grams(F.col("symbols"), k))).withColumnRenamed("p", "ip")
-    right = reference.select(F.inline(grams(F.col("symbols"), k))).withColumnRenamed("p", "rp")
+    def placed(chunks: DataFrame, name: str) -> DataFrame:
+        keys = [c for c in chunks.columns if c not in ("chunk", "symbols")]
+        each = chunks.select(*keys, "chunk", F.inline(grams(F.col("symbols"), k)))
+        return each.select(*keys, (F.col("chunk") * CHUNK + F.col("p")).alias(name), "g")
+
+    left, right = placed(chunked(inputs, "input_id", more=k - 1), "ip"), placed(reference_chunks(reference, k - 1), "rp")
     hits = left.join(right, "g").select("input_id", "ip", (F.col("rp") - F.col("ip")).alias("d"))
     order = W.partitionBy("input_id", "d").orderBy("ip")
     islands = hits.withColumn("island", F.col("ip") - F.row_number().over(order))
