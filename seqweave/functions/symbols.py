@@ -41,6 +41,12 @@ def retarget(pos: Column, pointer: Column, n: Column, bits: int) -> Column:
     return F.when((t >= 0) & (t <= n), t).when(t < 0, t + (1 << bits)).otherwise(t - (1 << bits))
 
 
+def is_relative(expected: Column, target: Column, bits: int) -> Column:
+    """Whether a copy's target is near enough to the expected one for a short pointer."""
+    d = target - expected
+    return (d > -(1 << bits) - 1) & (d < 1 << bits)
+
+
 #: Codes of the letters, fixed values; N is kept as a marker.
 DNA = {"A": 0, "C": 1, "G": 3, "T": 2}
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqweave.operators.committing import committed, committed_differences
@@ -215,6 +216,11 @@ class Index:
         return cls(spark.read.parquet(f"{path}/phrases"), reference, config)
 
 
+def everything(order: str):
+    """A window over all rows, for tables of few rows."""
+    return W.orderBy(order)
+
+
 def in_order(key: str):
     """All `part` arrays of a group, joined by the order of key."""
     return F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(key, "part"))), lambda x: x.part))
@@ -252,7 +258,8 @@ def encode(
             raise ValueError("a differential index takes a reference of one row")
         matches = matching.matches_by_seeds(*((apart(inputs), apart(reference)) if diff else (inputs, reference)), seed)
     context, name = inputs.sparkSession.sparkContext, uuid.uuid4().hex
-    shared = context.broadcast(reference_symbols(reference, VALUES)) if diff or matches is None else None
+    given = matches is not None
+    shared = context.broadcast(reference_symbols(reference, VALUES)) if diff or not given else None
 
     def run(batches):
         ref = shared.value if shared else None
@@ -260,7 +267,7 @@ def encode(
             rows = []
             for row in b.to_pylist():
                 own = row["symbols"] or []
-                if matches is not None:
+                if given:
                     ptr, lens = row["ptr"] or [], row["len"] or []
                     if "pos" in row:
                         ptr, lens = filled(row["pos"] or [], ptr, lens, len(own))
@@ -278,7 +285,7 @@ def encode(
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
 
     rows = inputs.select("input_id", "symbols")
-    if matches is not None:
+    if given:
         wide = matching.sparse(matches) if "pos" in matches.columns else matches.select("input_id", "ptr", "len")
         rows = rows.join(wide, "input_id", "left")
     return Index(rows.mapInArrow(run, PHRASES), reference, config)

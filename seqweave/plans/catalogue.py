@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqweave.functions import bits as B
@@ -18,6 +19,7 @@ from seqweave.operators import index as I
 from seqweave.operators import matching as M
 from seqweave.operators import suffixes
 from seqweave.plans import folds, strategies
+from seqweave.sources import files
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -37,6 +39,14 @@ def read(spark, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def new_folder(spark) -> str:
+    """A new place in the folder that all executors share; a local session may have none."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return f"{(top or tempfile.mkdtemp(prefix='index-')).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def texts(spark, d):
     """Inputs and the reference: all items but the first, and the first."""
     b = read(spark, d, "benchmark")
@@ -189,16 +199,20 @@ def block_pointers(spark, d):
     return index(spark, d, "automatic").pointers()
 
 
+def positions(inputs: DataFrame) -> DataFrame:
+    """input_id, pos: every position."""
+    return inputs.filter(F.size("symbols") > 0).select("input_id", F.explode(F.sequence(F.lit(0).cast("long"), F.size("symbols").cast("long") - 1)).alias("pos"))
+
+
 # Queries on an index.
 @query(f"WITH {_TEXT} SELECT input_id, CAST(length(text) AS BIGINT) AS n FROM i")
 def index_size(spark, d):
     return index(spark, d, "threshold").size()
 
 
-@query(f"WITH RECURSIVE {_CLASSIC} SELECT input_id, start - start % 1 AS pos, row_number() OVER (PARTITION BY input_id ORDER BY start) - 1 AS subphrase, start FROM e")
+@query(f"WITH RECURSIVE {_CLASSIC}, k AS (SELECT input_id, start, copy_len, row_number() OVER (PARTITION BY input_id ORDER BY start) - 1 AS subphrase FROM e) SELECT input_id, unnest(range(start, start + copy_len + 1)) AS pos, subphrase, start FROM k")
 def locate_position(spark, d):
-    i = index(spark, d, "classic")
-    return i.locate(i.phrases.select("input_id", F.col("start").alias("pos"))).select("input_id", "pos", "subphrase", "start")
+    return index(spark, d, "classic").locate(positions(texts(spark, d)[0])).select("input_id", "pos", "subphrase", "start")
 
 
 @query(f"WITH RECURSIVE {_CLASSIC} SELECT input_id, count(*) AS subphrases FROM e GROUP BY 1")
@@ -259,18 +273,74 @@ def decode_differential(spark, d):
     return index(spark, d, "differential").decode().select("input_id", S.render(F.col("symbols"), False).alias("text"))
 
 
-@query(f"WITH {_VALUES} SELECT input_id, CAST(3 AS BIGINT) AS pos, symbols[4] AS sym FROM v WHERE len(symbols) > 3")
+@query(f"WITH {_VALUES} SELECT input_id, unnest(range(0, len(symbols))) AS pos, unnest(symbols) AS sym FROM v")
 def lcp_value_at(spark, d):
-    at = values(spark, d)[0].filter(F.size("symbols") > 3).select("input_id", F.lit(3).cast("long").alias("pos"))
-    return index(spark, d, "differential").symbol_at(at)
+    return index(spark, d, "differential").symbol_at(positions(values(spark, d)[0]))
 
 
-@query(f"WITH {_VALUES} SELECT input_id, CAST(0 AS BIGINT) AS range_id, array_to_string(symbols[3:8], ' ') AS text FROM v WHERE len(symbols) > 2")
+@query(f"WITH {_VALUES}, k AS (SELECT *, unnest(range(0, (len(symbols) + 6) // 7)) AS range_id FROM v) SELECT input_id, range_id, array_to_string(symbols[range_id * 7 + 1 : range_id * 7 + 11], ' ') AS text FROM k")
 def lcp_range(spark, d):
-    r = values(spark, d)[0].select("input_id", F.lit(0).cast("long").alias("range_id"), F.lit(2).cast("long").alias("begin"), F.lit(8).cast("long").alias("end"))
+    rows = values(spark, d)[0].filter(F.size("symbols") > 0)
+    r = rows.select("input_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.size("symbols") - 1) / 7))).alias("range_id"))
+    r = r.select("input_id", "range_id", (F.col("range_id") * 7).alias("begin"), (F.col("range_id") * 7 + 11).alias("end"))
     return index(spark, d, "differential").extract(r).select("input_id", "range_id", S.render(F.col("symbols"), False).alias("text"))
 
 
+@query(f"{_DIFFERENTIAL}, {folds.difference_phrases()} SELECT input_id, subphrase, unnest(range(start, start + lit_len + copy_len)) AS pos FROM f")
+def lcp_phrase_id(spark, d):
+    return index(spark, d, "differential").phrase_id(positions(values(spark, d)[0]))
+
+
+@query(f"""{_DIFFERENTIAL}, {folds.difference_phrases()}, k AS (SELECT f.*, symbols, start + lit_len + copy_len AS stop FROM f JOIN a USING (input_id))
+SELECT input_id, subphrase, unnest(range(start, stop)) AS pos, start AS begin, stop AS end, array_to_string(symbols[start + 1 : stop], ' ') AS text FROM k""")
+def lcp_iterator_position(spark, d):
+    return index(spark, d, "differential").around(positions(values(spark, d)[0])).withColumn("text", S.render(F.col("symbols"), False)).drop("symbols")
+
+
+@query(f"""{_DIFFERENTIAL}, {folds.difference_phrases()}, k AS (SELECT f.*, symbols, start + lit_len + copy_len AS stop, unnest(range(start, start + lit_len + copy_len)) AS pos FROM f JOIN a USING (input_id))
+SELECT input_id, pos, CAST(3 AS BIGINT) AS step, pos + 3 AS target, CASE WHEN pos + 3 < stop THEN symbols[pos + 4] END AS sym FROM k""")
+def lcp_iterator_advance(spark, d):
+    return index(spark, d, "differential").advance(positions(values(spark, d)[0]).withColumn("step", F.lit(3).cast("long")))
+
+
+@query(f"{_DIFFERENTIAL}, {folds.difference_phrases()} SELECT input_id, subphrase, start, target - start AS \"offset\", copy_len + lit_len AS length, lit_len, copy_len, target FROM f")
+def lcp_walk_parsing(spark, d):
+    return index(spark, d, "differential").walk()
+
+
+@query(f"{_DIFFERENTIAL}, {folds.difference_phrases()} SELECT input_id, count(*) AS subphrases, count(*) FILTER (is_block) AS phrases, max(start + copy_len + lit_len) AS n FROM f GROUP BY 1")
+def lcp_phrases_and_size(spark, d):
+    i = index(spark, d, "differential")
+    return i.counts().join(i.size(), "input_id")
+
+
+@query(f"{_AUTOMATIC}, {folds.phrases()} SELECT input_id, count(*) AS subphrases, count(*) FILTER (is_block) AS phrases FROM f GROUP BY 1")
+def phrases_and_blocks(spark, d):
+    return index(spark, d, "automatic").counts()
+
+
+@query(f"{_AUTOMATIC}, {folds.phrases()} SELECT input_id, subphrase, start FROM f UNION ALL SELECT input_id, count(*), max(start + copy_len + lit_len) FROM f GROUP BY 1")
+def start_subphrase(spark, d):
+    i = index(spark, d, "automatic")
+    asked = i.counts().select("input_id", F.explode(F.sequence(F.lit(0).cast("long"), "subphrases")).alias("subphrase"))
+    return i.start_subphrase(asked)
+
+
+@query(f"{_AUTOMATIC}, {folds.phrases()} SELECT input_id, subphrase, start, block_ptr + diff AS pointer, copy_len + lit_len AS length FROM f WHERE subphrase >= 2")
+def parse_from_subphrase(spark, d):
+    return index(spark, d, "automatic").from_subphrase(2)
+
+
+@query(f"{_AUTOMATIC}, {folds.phrases()}, lk AS (SELECT f.*, text, unnest(range(0, lit_len)) AS j FROM f JOIN i USING (input_id)) SELECT input_id, subphrase, lit_offset + j AS lit_pos, CAST(ascii(substr(text, start + copy_len + j + 1, 1)) AS BIGINT) AS sym FROM lk")
+def literal_access(spark, d):
+    return index(spark, d, "automatic").literals()
+
+
+@query(f"WITH {_TEXT} SELECT input_id, unnest(range(0, (length(text) + 1023) // 1024)) AS chunk, substr(text, unnest(range(0, (length(text) + 1023) // 1024)) * 1024 + 1, 1024) AS text FROM i")
+def decompress_chunks(spark, d):
+    return as_text(index(spark, d, "automatic").decode_chunks())
+
+
 @query(f"WITH {_TEXT} SELECT input_id, true AS same, CAST(NULL AS BIGINT) AS first_mismatch FROM i")
 def decode_check(spark, d):
     inputs, ref = texts(spark, d)
@@ -292,12 +362,49 @@ def walk_parsing(spark, d):
 @query(_ORIGINAL)
 def store_load_roundtrip(spark, d):
     inputs, ref = texts(spark, d)
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="index-")
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     I.encode(inputs, ref, strategies.config("parametric")).save(path)
     return as_text(I.Index.load(spark, path, ref, "text").decode())
 
 
+@query(f"{_AUTOMATIC}, {folds.phrases()} SELECT input_id, count(*) AS subphrases, count(*) FILTER (is_block) AS phrases, max(start + copy_len + lit_len) AS n FROM f GROUP BY 1")
+def load_without_reference(spark, d):
+    path = new_folder(spark)
+    index(spark, d, "automatic").save(path)
+    i = I.Index.load(spark, path)
+    return i.counts().join(i.size(), "input_id")
+
+
+@query(_ORIGINAL)
+def build_by_seeds(spark, d):
+    """The index of matches from the seed join, as for references beyond the automaton, the reference in chunks."""
+    inputs, ref = texts(spark, d)
+    chunks = M.chunked(ref)
+    return as_text(I.encode(inputs, chunks, strategies.config("automatic"), M.matches_by_seeds(inputs, chunks, 4)).decode())
+
+
+@query(_ORIGINAL)
+def build_with_rules(spark, d):
+    """Phrases cut at every tenth position by one rule, and blocks begun behind long literals by another."""
+    inputs, ref = texts(spark, d)
+    tenth = lambda source, target, copy, lit: (min(copy, 10 - source % 10), min(lit, 10))
+    return as_text(I.encode(inputs, ref, strategies.config("automatic"), rules=(tenth,), splits=(lambda pointer, p: p.lit_len > 8,)).decode())
+
+
+@query(f"WITH {_TEXT} SELECT 'f' || lpad(CAST(row_number() OVER (ORDER BY input_id) - 1 AS VARCHAR), 6, '0') AS file, text FROM i")
+def build_from_files(spark, d):
+    """Inputs and reference written as files, read again, encoded and decoded."""
+    inputs, ref = texts(spark, d)
+    folder = new_folder(spark)
+    named = inputs.withColumn("file", F.concat(F.lit("f"), F.lpad((F.row_number().over(W.orderBy("input_id")) - 1).cast("string"), 6, "0")))  # a row per item
+    as_text(named.select("file", "symbols")).repartition("file").write.partitionBy("file").option("lineSep", "\u0001").text(f"{folder}/inputs")
+    as_text(ref).coalesce(1).write.option("lineSep", "\u0001").text(f"{folder}/reference")
+    read = files.read_inputs(spark, f"{folder}/inputs/*/*.txt").withColumn("symbols", F.expr("filter(symbols, x -> x <> 1)"))
+    source = files.read_reference(spark, f"{folder}/reference/*.txt").withColumn("symbols", F.expr("filter(symbols, x -> x <> 1)"))
+    out = as_text(I.encode(read, source, strategies.config("threshold")).decode()).join(read.select("input_id", F.regexp_extract("path", "file=(f[0-9]+)", 1).alias("file")), "input_id")
+    return out.select("file", "text")
+
+
 @query(_ORIGINAL)
 def reuse_matches(spark, d):
     inputs, ref = texts(spark, d)
@@ -322,6 +429,12 @@ def space_tree(spark, d):
     return I.size_tree(index(spark, d, "automatic"))
 
 
+@query(f"""{_AUTOMATIC}, {folds.phrases()}, c AS ({_SPACE}) SELECT '<ul><li>index: ' || CAST(n * 14 + b * 28 + l * 32 AS BIGINT) || ' bits<ul><li>boundaries: ' || n * 2 || ' bits</li><li>differences: ' || (n - b) * 4
+|| ' bits</li><li>literal_lengths: ' || n * 8 || ' bits</li><li>literals: ' || CAST(l * 32 AS BIGINT) || ' bits</li><li>pointers: ' || b * 32 || ' bits</li></ul></li></ul>' AS html FROM c""")
+def space_page(spark, d):
+    return I.size_page(index(spark, d, "automatic"))
+
+
 # Bits and sums.
 @query(f"WITH {_BITS} SELECT vec_id, pos, bit, CAST(coalesce(sum(bit) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank1, CAST(pos - coalesce(sum(bit) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank0 FROM b")
 def rank1(spark, d):
@@ -343,10 +456,10 @@ def chunked_bits(spark, d):
     return B.words(purchases(spark, d))
 
 
-@query(f"WITH {_BITS} SELECT a.vec_id, a.pos, CAST(12 AS BIGINT) AS len, CAST(sum(b.bit * (1::BIGINT << CAST(b.pos - a.pos AS INTEGER))) AS BIGINT) AS value FROM b a JOIN b ON b.pos >= a.pos AND b.pos < a.pos + 12 WHERE a.pos % 9 = 0 GROUP BY ALL")
+@query(f"WITH {_BITS} SELECT a.vec_id, a.pos, CAST(12 AS BIGINT) AS len, CAST(sum(b.bit * (1::BIGINT << CAST(b.pos - a.pos AS INTEGER))) AS BIGINT) AS value FROM b a JOIN b ON b.pos >= a.pos AND b.pos < a.pos + 12 GROUP BY ALL")
 def word_read(spark, d):
     p = purchases(spark, d)
-    return B.word_read(B.words(p), p.filter("pos % 9 = 0").select("vec_id", "pos", F.lit(12).cast("long").alias("len")))
+    return B.word_read(B.words(p), p.select("vec_id", "pos", F.lit(12).cast("long").alias("len")))
 
 
 @query(f"WITH {_BITS} SELECT vec_id, pos, bit FROM b")
@@ -407,8 +520,14 @@ def dna(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.regexp_replace(t, "[^ACGTN]", "N").alias("s"))
 
 
-@query(f"WITH {_DNA} SELECT item_id, translate(s, 'ACGTN', '01320') AS codes FROM n")
+@query(f"""WITH {_DNA}, c AS (SELECT item_id, unnest(range(0, length(s))) AS k, unnest(list_transform(range(1, length(s) + 1), lambda j: CAST(translate(substr(s, j, 1), 'ACGTN', '01320') AS BIGINT))) AS code FROM n)
+SELECT item_id, k // 16 AS word, CAST(sum(code * (1::BIGINT << CAST(k % 16 * 2 AS INTEGER))) AS BIGINT) AS value FROM c GROUP BY 1, 2""")
 def dna_pack(spark, d):
+    return dna(spark, d).select("item_id", F.posexplode(S.pack(S.dna_codes(F.col("s")), 2)).alias("word", "value")).withColumn("word", F.col("word").cast("long"))
+
+
+@query(f"WITH {_DNA} SELECT item_id, translate(s, 'ACGTN', '01320') AS codes FROM n")
+def dna_pack_unpack(spark, d):
     return dna(spark, d).select("item_id", F.array_join(F.transform(S.unpack(S.pack(S.dna_codes(F.col("s")), 2), 2, F.length("s")), lambda x: x.cast("string")), "").alias("codes"))
 
 
@@ -463,3 +582,22 @@ def lcp_array_small(spark, d):
 @query(f"WITH {_TEXT} SELECT input_id, text AS shown FROM i")
 def render_symbols(spark, d):
     return texts(spark, d)[0].select("input_id", S.render(F.col("symbols"), True).alias("shown"))
+
+
+@query(f"WITH {_TEXT}, s AS (SELECT input_id, list_transform(range(1, length(text) + 1), lambda k: CAST(ascii(substr(text, k, 1)) AS INTEGER)) AS x FROM i), p AS (SELECT input_id, unnest(range(0, len(x))) AS pos, x FROM s) SELECT input_id, row_number() OVER (PARTITION BY input_id ORDER BY x[pos + 1 :]) - 1 AS rank, CASE WHEN pos > 0 THEN CAST(x[pos] AS BIGINT) END AS sym FROM p")
+def bwt_small(spark, d):
+    return suffixes.bwt(texts(spark, d)[0], 1024)
+
+
+@query("SELECT event_id, v, v AS again FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) - 50 AS v FROM events)")
+def alphabet_unshift(spark, d):
+    rows = read(spark, d, "events").select("event_id", (F.round(F.col("value") * 100).cast("long") - 50).alias("v"))
+    least = rows.agg(F.min("v")).first()[0]
+    shifted = S.shifted_alphabet(rows, "v").withColumnRenamed("v", "original")
+    return S.unshifted_alphabet(shifted, "shifted", least).select("event_id", F.col("original").alias("v"), F.col("v").alias("again"))
+
+
+@query("SELECT l_orderkey, l_linenumber, t - e > -17 AND t - e < 16 AS relative FROM (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_linenumber * 10 AS e, CAST(l_quantity AS BIGINT) AS t FROM lineitem)")
+def is_relative(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_quantity").cast("long").alias("t"))
+    return rows.select("l_orderkey", "l_linenumber", S.is_relative(F.col("l_linenumber") * 10, F.col("t"), 4).alias("relative"))

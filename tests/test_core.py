@@ -173,3 +173,81 @@ def test_binary_files(spark, tmp_path):
     assert files.read_binary(spark, str(tmp_path / "x.bin")).first().symbols == [5, -1, 7]
     (tmp_path / "m.bin").write_bytes(np.array([3, 0, 1, 2, 3, 2**64 - 1, 0], "<u8").tobytes())
     assert [(r.ptr, r.len) for r in files.read_matches(spark, str(tmp_path / "m.bin")).orderBy("pos").collect()] == [(0, 1), (2, 3), (None, 0)]
+
+
+def test_rules_and_splits():
+    events = [event(*e) for e in (("C", 0, 0, 25), ("L", 25, None, 5), ("C", 30, 30, 4))]
+    rows = committing.committed(events, [0] * 34, more=[lambda s, t, c, n: (min(c, 10), n)], also=[lambda pointer, p: p.lit_len > 4])
+    assert [(r[2], r[3], r[4], r[7]) for r in rows] == [(0, 10, 0, True), (10, 10, 0, False), (20, 5, 5, True), (30, 4, 0, False)]
+
+
+def test_large_reference(spark):
+    """A reference of two million symbols, in chunks, with matches by seeds: build, extract, check."""
+    from pyspark.sql import functions as F
+
+    n = 1 << 21
+    chunks = spark.range(n >> 14).select(F.col("id").alias("chunk"), F.expr("transform(sequence(0, 16383), i -> 65 + pmod(xxhash64(id * 16384 + i), 20))").alias("symbols"))
+    chunks = chunks.withColumn("symbols", F.col("symbols").cast("array<bigint>"))
+    ref = [x for r in chunks.orderBy("chunk").collect() for x in r.symbols]
+    rng = random.Random(4)
+    inputs = [(k, ref[at : at + 5000] + [7] * k + ref[at + 5003 : at + 9000]) for k, at in enumerate(rng.randrange(n - 10_000) for _ in range(6))] + [(9, [])]
+    df = spark.createDataFrame(inputs, "input_id long, symbols array<bigint>")
+    i = index.encode(df, chunks, strategies.config("automatic"))
+    assert all(r.same for r in i.check(df).collect()) and i.phrases.count() < 60
+    wrong = df.withColumn("symbols", F.transform("symbols", lambda x, k: F.when((k == 7000) & (F.col("input_id") == 2), -1).otherwise(x)))
+    assert {r.input_id: r.first_mismatch for r in i.check(wrong).collect()} == {k: 7000 if k == 2 else None for k, _ in inputs}
+    spans = [(k, j, b, b + 1500) for k, s in inputs[:6] for j, b in enumerate(range(0, len(s), 1200))]
+    got = {(r.input_id, r.range_id): r.symbols for r in i.extract(spark.createDataFrame(spans, "input_id long, range_id long, begin long, end long")).collect()}
+    assert got == {(k, j): dict(inputs)[k][b:e] for k, j, b, e in spans}
+
+
+def test_validation(spark):
+    r = spark.createDataFrame([([1, 2, 300],)], "symbols array<bigint>")
+    df = spark.createDataFrame([(1, [1, 2, 3, 1, 2]), (2, None), (3, [])], "input_id long, symbols array<bigint>")
+    i = index.encode(df, r, IndexConfig(alphabet="int8", parser="classic"))
+    with pytest.raises(ValueError, match="not of the alphabet int8"):
+        i.with_reference(r)
+    with pytest.raises(ValueError, match="one sequence"):
+        index.encode(df, r.union(r), IndexConfig(parser="classic"))
+    assert {x.input_id: x.n for x in i.size().collect()} == {1: 5}
+    assert i.check(df.filter("input_id <> 2")).count() == 2 and index.encode(df.limit(0), r, IndexConfig(parser="classic")).decode().count() == 0
+
+
+def test_product_of_settings():
+    found = strategies.combinations(parser=["classic", "threshold"], diff_bits=[2, 4])
+    assert [(c.parser, c.diff_bits) for c in found] == [("classic", 2), ("classic", 4), ("threshold", 2), ("threshold", 4)]
+
+
+def test_tools(spark, tmp_path, capsys):
+    import numpy as np
+
+    from seqweave import __main__ as tools
+
+    rng = np.random.default_rng(2)
+    ref = rng.integers(0, 50, 3000)
+    own = np.r_[ref[100:900], 7, 7, ref[2000:2600]]
+    ref.astype("<u4").tofile(tmp_path / "ref")
+    own.astype("<u4").tofile(tmp_path / "in")
+    p = {k: str(tmp_path / k) for k in ("ref", "in", "ix", "out", "ms")}
+    assert tools.main(["build", "--input", p["in"], "--reference", p["ref"], "--output", p["ix"]]) == 0
+    at = ["--index", p["ix"], "--reference", p["ref"]]
+    assert tools.main(["decompress", *at, "--output", p["out"]]) == 0
+    assert (np.fromfile(p["out"], "<u4") == own).all()
+    assert tools.main(["check", *at, "--input", p["in"]]) == 0 and tools.main(["check", *at, "--input", p["ref"]]) == 1
+    capsys.readouterr()
+    tools.main(["extract", *at, "--start", "798", "--end", "804"])
+    assert capsys.readouterr().out.split() == [str(x) for x in own[798:804]]
+    for tool in (["stats", *at], ["parsing", *at], ["space", "--index", p["ix"]], ["space", "--index", p["ix"], "--html"], ["benchmark", *at, "--times", "20"]):
+        assert tools.main(tool) == 0 and capsys.readouterr().out
+    assert tools.main(["matches", "--input", p["in"], "--reference", p["ref"], "--output", p["ms"]]) == 0
+    assert tools.main(["build", "--input", p["in"], "--reference", p["ref"], "--output", p["ix"] + "2", "--matches", p["ms"], "--parser", "classic"]) == 0
+    assert tools.main(["check", "--index", p["ix"] + "2", "--reference", p["ref"], "--input", p["in"]]) == 0
+
+
+def test_zero_tail(spark, tmp_path):
+    from seqweave.sources import files
+
+    (tmp_path / "x.bin").write_bytes(bytes([5, 0, 7, 0, 1]))
+    assert files.read_binary(spark, str(tmp_path / "x.bin"), "<u2", extra=3).first().symbols == [5, 7, 0, 0, 0]
+    with pytest.raises(Exception, match="within a symbol"):
+        files.read_binary(spark, str(tmp_path / "x.bin"), "<u2", strict=True).collect()
