@@ -5,14 +5,19 @@ words are broadcast, the others are joined, as the table grows with the corpus;
 
 Model. The states emit one of SYMBOLS frequent words, the end of the text, or the class of all other tokens; a token
 of that class has the probability (c + 1) / (C + V + 1), with C the class's count, V its distinct words, one part for
-unseen words. So the probabilities of all texts sum to one (or less). Each Baum-Welch round goes over all training
-documents: expected transitions and emissions of a partition are rows that Spark adds up. Starting values come
-from a bounded sample of START_DOCS documents, grouped by their words; all counts of the model are of whole passes.
+unseen words. So the probabilities of all texts sum to one (or less). Training documents are written once as symbols, and
+each Baum-Welch round goes over all of them: expected transitions and emissions of a partition are rows that Spark adds up.
+
+Start. One pass counts in how many training documents each two of the ANCHORS most frequent words meet; their groups, as many
+as states, come from that matrix. A second pass gives every whole document to the group most of its anchors belong to and
+adds up its words: a state starts with the words of its group's documents. Nothing is learned from samples or beginnings.
+
+Long texts. The expected counts of a text beyond PIECE tokens are those of the whole recursion: its forward values are kept
+only between segments and computed again on the way back, so memory is bounded by a segment.
 
 Defined results: null and empty texts are the end alone; null ids are training documents; repeated rows count each
 time; an empty table gives an empty result; without training documents N and V are 0, each token has base
-probability 1 and the model's start is uniform; extra columns are ignored. For the expected counts alone, texts
-beyond PIECE tokens are cut, so that memory is bounded; scores are of whole texts.
+probability 1 and the model's start is uniform; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import id_remainder, reliable
+from seqweave.llm.common import discard, id_remainder, reliable
 
 FOLDS, HELD_OUT = 7, 2
-HEAD, SYMBOLS, STATES, ROUNDS = 1 << 18, 1 << 14, 4, 2
-START_DOCS, START_TOKENS, PIECE, SEED = 600, 800, 200_000, 5
+HEAD, SYMBOLS, STATES, ROUNDS = 1 << 18, 1 << 14, 8, 2
+#: Frequent words whose meetings give the start, symbols in a segment of a long text, and the seed of the start.
+ANCHORS, PIECE, SEED = 256, 200_000, 5
 #: Tokens handled at once; distinct words that a partition counts before it passes them on.
 AT_ONCE, FLUSH = 1_000_000, 400_000
 #: Weight, in tokens, of the corpus's word frequencies in a state's emissions.
@@ -202,6 +208,38 @@ class Batch:
         return gamma[: at[1]].sum(0), moves, emitted
 
 
+def expected_of_long(seq: np.ndarray, m: Model, size: int, piece: int = PIECE):
+    """Expected starts, moves and emissions of one sequence of any length, in segments."""
+    parts = [seq[at : at + piece] for at in range(0, len(seq), piece)]
+
+    def forward(part, a):
+        emit = m.emit[part]
+        alpha, scale = np.empty_like(emit), np.empty(len(part))
+        for t in range(len(part)):
+            a = (m.start if a is None else a @ m.move) * emit[t]
+            scale[t] = total = a.sum()
+            alpha[t] = a = a / total
+        return emit, alpha, scale
+
+    before: list = [None]
+    for part in parts[:-1]:
+        before.append(forward(part, before[-1])[1][-1])
+    moves, emitted, back = np.zeros_like(m.move), np.zeros((size, len(m.start))), np.ones(len(m.start))
+    for part, a in zip(reversed(parts), reversed(before)):
+        emit, alpha, scale = forward(part, a)
+        later, beta = emit / scale[:, None], np.empty_like(emit)
+        for t in range(len(part) - 1, -1, -1):
+            beta[t] = back
+            later[t] *= back
+            back = m.move @ later[t]
+        gamma = alpha * beta
+        for k in range(gamma.shape[1]):
+            emitted[:, k] += np.bincount(part, gamma[:, k], size)
+        prev = alpha[:-1] if a is None else np.vstack([a, alpha[:-1]])
+        moves += m.move * (prev.T @ later[len(later) - len(prev) :])
+    return gamma[0], moves, emitted
+
+
 def batches_of(seqs: list[np.ndarray]):
     """Index lists of sequences of like lengths, about AT_ONCE symbols each."""
     group, total = [], 0
@@ -224,80 +262,120 @@ def updated(voc: Vocabulary, starts, moves, emitted) -> Model:
     return Model(starts / starts.sum(), moves / moves.sum(1, keepdims=True), emitted / emitted.sum(0))
 
 
-def starting(voc: Vocabulary, seqs: list[np.ndarray], states: int) -> Model:
-    """A model whose states are groups of like documents of the sample."""
-    size = voc.size
-    x = np.stack([np.bincount(s, minlength=size) for s in seqs]).astype(np.float32) if seqs else np.zeros((0, size), np.float32)
-    unit = np.sqrt(x)
-    unit /= np.maximum(1e-9, np.linalg.norm(unit, axis=1, keepdims=True))
-    picked = [int(x.sum(1).argmax())] if len(x) else []
-    while 0 < len(picked) < min(states, len(x)):  # the document least like those picked
-        picked.append(int((unit @ unit[picked].T).max(1).argmin()))
-    rng = np.random.default_rng(SEED)
-    emitted = rng.random((size, states)) * 0.01
-    if picked:
-        group = (unit @ unit[picked].T).argmax(1)
-        for _ in range(8):
-            model = updated(voc, np.ones(states), np.eye(states), np.stack([x[group == k].sum(0) for k in range(states)], 1))
-            new = (x @ np.log(model.emit).astype(np.float32)).argmax(1)
-            if (new == group).all():
-                break
-            group = new
-        emitted = emitted + np.stack([x[group == k].sum(0) for k in range(states)], 1)
-    return updated(voc, np.ones(states), np.eye(states) * 100.0, emitted)
-
-
-def baum_welch(docs: DataFrame, voc: Vocabulary, model: Model, rounds: int = ROUNDS) -> Model:
-    """`rounds` passes over all docs."""
-    context, size, states = docs.sparkSession.sparkContext, voc.size, len(model.start)
-    shared_voc = context.broadcast(voc)
-    names = [f"x{k}" for k in range(states)]
+def encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
+    """s: the symbols of every document, the end last."""
+    shared = docs.sparkSession.sparkContext.broadcast(voc)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([as_symbols(shared.value, s) for s in sequences(shared.value, b.column(0))], pa.list_(pa.int32()))], ["s"])
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "s array<int>")
+
+
+def arrays(column) -> list[np.ndarray]:
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def summed(rows: DataFrame, run, columns: int, size: int) -> np.ndarray:
+    """The sum of all partitions' tables of `size` rows and so many columns; run(arrays of a batch, table) adds to one."""
+    names = [f"x{k}" for k in range(columns)]
+
+    def add_up(batches):
+        table = np.zeros((size, columns))
+        for b in batches:
+            run(arrays(b.column(0)), table)
+        used = np.flatnonzero(table.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(np.ascontiguousarray(table[used, k])) for k in range(columns))], ["k", *names])
+
+    got = rows.mapInArrow(add_up, "k long, " + ", ".join(f"{x} double" for x in names))
+    got = got.groupBy("k").agg(*[F.sum(x).alias(x) for x in names]).toArrow()  # at most `size` rows
+    total = np.zeros((size, columns))
+    total[got.column("k").to_numpy()] = np.stack([got.column(x).to_numpy() for x in names], 1)
+    return total
+
+
+def anchor_groups(meetings: np.ndarray, states: int) -> np.ndarray:
+    """A group for each anchor: k-means of the leading eigenvectors of how much oftener than by chance they meet."""
+    own = np.maximum(np.diag(meetings), 1)
+    n = max(own.max(), 1)
+    lift = np.maximum(0, np.log((meetings + 0.1) * n / np.outer(own, own)))
+    lift = (lift + lift.T) / 2
+    degree = np.maximum(lift.sum(1), 1e-9) ** -0.5
+    _, vectors = np.linalg.eigh(degree[:, None] * lift * degree)
+    x = vectors[:, -states:]
+    x = x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
+    x = x * np.sign(x[np.abs(x).argmax(0), np.arange(x.shape[1])])
+    picked = [0]
+    while len(picked) < min(states, len(x)):
+        picked.append(int((x @ x[picked].T).max(1).argmin()))
+    centre = x[picked]
+    for _ in range(50):
+        group = (x @ centre.T).argmax(1)
+        centre = np.stack([x[group == k].sum(0) if (group == k).any() else centre[k] for k in range(len(centre))])
+        centre = centre / np.maximum(1e-12, np.linalg.norm(centre, axis=1, keepdims=True))
+    return group
+
+
+def starting(rows: DataFrame, voc: Vocabulary, states: int) -> Model:
+    """A model whose states are groups of like documents, from two passes over the encoded documents."""
+    anchors, size = min(ANCHORS, voc.symbols), voc.size
+    jitter = np.random.default_rng(SEED).random((size, states)) * 0.01
+    if not anchors:
+        return updated(voc, np.ones(states), np.eye(states) * 100.0, jitter)
+
+    def meet(seqs, table):
+        for at in range(0, len(seqs), 4096):
+            part = seqs[at : at + 4096]
+            x = np.zeros((len(part), anchors), np.float32)
+            for i, s in enumerate(part):
+                x[i, s[s < anchors]] = 1
+            table += x.T @ x
+
+    group = anchor_groups(summed(rows, meet, anchors, anchors), states)
+
+    def gather(seqs, table):
+        for s in seqs:
+            votes = np.bincount(group[s[s < anchors]], minlength=states)
+            if votes.any():
+                used, n = np.unique(s, return_counts=True)
+                table[used, votes.argmax()] += n
+
+    return updated(voc, np.ones(states), np.eye(states) * 100.0, jitter + summed(rows, gather, states, size))
+
+
+def baum_welch(rows: DataFrame, voc: Vocabulary, model: Model, rounds: int = ROUNDS, piece: int = PIECE) -> Model:
+    """`rounds` passes over all encoded documents."""
+    context, size, states = rows.sparkSession.sparkContext, voc.size, len(model.start)
     for _ in range(rounds):
         shared = context.broadcast(model)
 
-        def run(batches, shared=shared):
-            voc, m = shared_voc.value, shared.value
-            starts, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
-            for b in batches:
-                seqs = [as_symbols(voc, s) for s in sequences(voc, b.column(0))]
-                seqs = [s[at : at + PIECE] for s in seqs for at in range(0, len(s), PIECE)]
-                for group in batches_of(seqs):
-                    for total, part in zip((starts, moves, emitted), Batch([seqs[i] for i in group]).expected(m, size)):
-                        total += part
-            used = np.flatnonzero(emitted.any(1))
-            key = np.r_[used, np.arange(size, size + states + 1)]
-            rows = np.vstack([emitted[used], moves, starts])
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(states))], ["k", *names])
-
-        rows = docs.select(F.col("text").cast("binary")).mapInArrow(run, "k long, " + ", ".join(f"{x} double" for x in names))
-        got = rows.groupBy("k").agg(*[F.sum(x).alias(x) for x in names]).toArrow()  # a row per symbol
-        total = np.zeros((size + states + 1, states))
-        total[got.column("k").to_numpy()] = np.stack([got.column(x).to_numpy() for x in names], 1)
+        def run(seqs, table, shared=shared):
+            m = shared.value
+            parts = [expected_of_long(s, m, size, piece) for s in seqs if len(s) > piece]
+            short = [s for s in seqs if len(s) <= piece]
+            for group in batches_of(short):
+                parts.append(Batch([short[i] for i in group]).expected(m, size))
+            for starts, moves, emitted in parts:
+                table[:size] += emitted
+                table[size : size + states] += moves
+                table[-1] += starts
+
+        total = summed(rows, run, states, size + states + 1)
         model = updated(voc, total[-1], total[size : size + states], total[:size])
         shared.unpersist()
     return model
 
 
-def sampled(docs: DataFrame, n: int) -> DataFrame:
-    """t: the beginnings of the START_DOCS documents of the smallest hashes, of n.
-
-    A limit that is collected takes so many rows of each task to the driver; a bound on the hash, which about twice
-    as many documents of the whole table meet, comes first.
-    """
-    bound = min((1 << 63) - 1, -(1 << 63) + (2 * START_DOCS << 64) // max(1, n))
-    h = F.xxhash64("doc_id")
-    begin = F.regexp_extract("text", r"^(?s).{0,%d}" % (8 * START_TOKENS), 0)
-    return docs.filter(h <= F.lit(bound)).select(h.alias("h"), "doc_id", begin.alias("t")).orderBy("h", "doc_id", "t").limit(START_DOCS)
-
-
 def fitted(docs: DataFrame, head: int = HEAD, symbols: int = SYMBOLS, states: int = STATES, rounds: int = ROUNDS):
     """The counts of all tokens of docs, the count from which words are in the head, the vocabulary, and the model."""
     counts = reliable(token_counts(docs))
     voc, least = vocabulary(counts, head, symbols)
-    texts = [(r.t or "").encode() for r in sampled(docs, voc.end_count).collect()]
-    seqs = [as_symbols(voc, s)[:START_TOKENS] for s in sequences(voc, pa.array(texts, pa.binary()))]
-    model = starting(voc, seqs, states)
-    return counts, least, voc, baum_welch(docs, voc, model, rounds)
+    rows = reliable(encoded(docs, voc))
+    model = baum_welch(rows, voc, starting(rows, voc, states), rounds)
+    discard(rows)
+    return counts, least, voc, model
 
 
 def scored(docs: DataFrame, counts: DataFrame, least: int, voc: Vocabulary, model: Model) -> DataFrame:

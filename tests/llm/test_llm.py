@@ -1,3 +1,4 @@
+import itertools
 import json
 import math
 import random
@@ -492,17 +493,48 @@ def test_hmm_against_brute_force(spark):
 
 def test_baum_welch_raises_the_likelihood(spark):
     _, docs = corpus(spark)
-    counts, least, voc, start = hmm.fitted(docs, head=300, symbols=250, states=3, rounds=0)
     sums = []
     for rounds in (0, 1, 3):
-        model = hmm.baum_welch(docs, voc, start, rounds)
-        sums.append(hmm.scored(docs, counts, least, voc, model).agg(F.sum("score")).first()[0])
+        fit = hmm.fitted(docs, head=300, symbols=250, states=3, rounds=rounds)
+        sums.append(hmm.scored(docs, *fit).agg(F.sum("score")).first()[0])
     assert sums == sorted(sums)
 
 
-def test_hmm_sample_is_of_the_smallest_hashes(spark):
-    docs = corpus(spark)[1].select("doc_id", "text").union(spark.range(500, 4500).selectExpr("id", "concat('w', id)"))
-    n, chars = docs.count(), 8 * hmm.START_TOKENS
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()
-    want = [r.text[:chars] for r in sorted(rows, key=lambda r: (r.h, r.doc_id))[: hmm.START_DOCS]]
-    assert [r.t or "" for r in hmm.sampled(docs, n).collect()] == want
+def test_expected_counts_of_long_texts():
+    """In segments, side by side with others, and by sums over all paths, the counts are the same."""
+    rng = np.random.default_rng(6)
+    part = lambda *n: (x := rng.random(n) + 0.1) / x.sum(-1, keepdims=True)
+    m = hmm.Model(part(3), part(3, 3), part(3, 7).T.copy())
+    seqs = [rng.integers(0, 7, n).astype(np.int32) for n in (41, 1, 2, 10, 20)]
+    for s in seqs:
+        alone = hmm.Batch([s]).expected(m, 7)
+        for piece in (1, 3, 7, 10, 100):
+            for a, b in zip(alone, hmm.expected_of_long(s, m, 7, piece)):
+                assert np.allclose(a, b)
+    together = hmm.Batch(seqs).expected(m, 7)
+    for a, b in zip(together, (sum(x) for x in zip(*(hmm.expected_of_long(s, m, 7, 6) for s in seqs)))):
+        assert np.allclose(a, b)
+    s = seqs[3][:5]
+    total, starts, moves, emitted = 0.0, np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))
+    for path in itertools.product(range(3), repeat=5):
+        p = m.start[path[0]] * np.prod([m.emit[x, k] for x, k in zip(s, path)]) * np.prod([m.move[a, b] for a, b in zip(path, path[1:])])
+        total += p
+        starts[path[0]] += p
+        for a, b in zip(path, path[1:]):
+            moves[a, b] += p
+        for x, k in zip(s, path):
+            emitted[x, k] += p
+    for a, b in zip((starts, moves, emitted), hmm.expected_of_long(s, m, 7, 2)):
+        assert np.allclose(a / total, b)
+
+
+def test_start_is_of_whole_documents(spark):
+    """Kinds of documents that differ only behind a long common beginning, one of them rare, get states of their own."""
+    rng = random.Random(3)
+    same = " ".join(f"s{k % 40}" for k in range(900))
+    rows = [(k, same + " " + " ".join(f"{'ab'[k % 50 == 0]}{rng.randrange(30)}" for _ in range(600))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    *_, voc, model = hmm.fitted(docs, head=200, symbols=150, states=2, rounds=1)
+    ids = {w: k for k, w in enumerate(voc.words.split())}
+    weight = {c: sum(model.emit[ids[f"{c}{k}".encode()]] for k in range(30)) for c in "ab"}
+    assert max(weight["b"]) > 5 * min(weight["b"])
