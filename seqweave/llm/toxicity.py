@@ -1,12 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words and their first four and five bytes, hashed to buckets. On a bounded sample of
-labelled rows (SAMPLE rows of smallest hash; all of them if there are fewer) the buckets that tell the classes
-apart are chosen, and a factorization machine is fitted by Adam: linear weights plus a vector per bucket, whose
-inner products weigh pairs of terms. Every whole text is then scored.
+labelled rows (SAMPLE rows of smallest hash; all of them if there are fewer) Spark counts each bucket by class; the buckets
+that tell the classes apart are chosen, and of the sample only those come to the driver, where a factorization machine is
+fitted by Adam: linear weights plus a vector per bucket, whose inner products weigh pairs of terms. Every whole text is
+then scored.
 
 Defined results: null and empty texts have no terms and get the intercept's score; ties and repeated rows are scored
-alike; of several labels of an id, toxic counts; ids that are null are neither held out nor learned from; without
+alike; of several labels of an id, toxic counts, and of several texts the smallest; ids that are null are neither held out nor learned from; without
 labels of both classes every score is the share of toxic labels (0 without labels); extra columns are ignored.
 """
 
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import id_remainder
+from seqweave.llm.common import discard, id_remainder, reliable
 
 BUCKETS, SAMPLE, CHOSEN, RANK = 1 << 18, 20_000, 4096, 4
 FOLDS, HELD_OUT = 5, 0
-STEPS, RATE, PENALTY, SEED = 200, 0.05, 2e-5, 11
+STEPS, RATE, PENALTY, SEED = 200, 0.05, 1e-4, 11
+#: How much a toxic row counts against a clean one, as toxic rows are few.
+TOXIC_WEIGHT = 4.0
 #: Stripped from both ends of a word.
 MARKS = b".,;:!?%$#&*\"'()[]<>-_"
 
@@ -65,38 +68,41 @@ def sigmoid(x):
 
 def fit(buckets: list[np.ndarray], y: np.ndarray) -> Machine:
     """The machine of documents' buckets and labels."""
-    return fitted(np.concatenate([*buckets, np.zeros(0, np.int64)]), [len(b) for b in buckets], y)
-
-
-def fitted(flat: np.ndarray, sizes, y: np.ndarray) -> Machine:
-    """The machine of documents whose buckets stand in `flat` one after the other, `sizes` of each.
-
-    The driver holds one small number for each term and, for terms of chosen buckets, a few more.
-    """
-    n, none = len(y), Machine(np.full(BUCKETS, -1), 0.0, np.zeros(0), np.zeros((0, RANK)))
+    flat = np.concatenate([*buckets, np.zeros(0, np.int64)])
+    rows = np.repeat(np.arange(len(y)), [len(b) for b in buckets])
+    index = chosen(np.bincount(flat, minlength=BUCKETS), np.bincount(flat, y[rows], BUCKETS), y)
+    return fitted([index[b][index[b] >= 0] for b in buckets], y, index)
+
+
+def chosen(seen: np.ndarray, toxic: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of each bucket among those used, -1 for others; seen and toxic: in how many documents, and toxic ones, it is."""
+    index, share = np.full(BUCKETS, -1), y.mean() if len(y) else 0.0
+    if 0 < share < 1:
+        # How far a bucket's share of toxic rows lies from the share of all, in standard errors.
+        z = (toxic - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
+        z[seen < 4] = 0
+        order = np.argsort(-np.abs(z), kind="stable")[:CHOSEN]
+        order = order[np.abs(z[order]) >= 3]
+        index[order] = np.arange(len(order))
+    return index
+
+
+def fitted(features: list[np.ndarray], y: np.ndarray, index: np.ndarray) -> Machine:
+    """The machine of documents' used buckets, by number, and labels."""
+    n, used = len(y), int(index.max()) + 1
     share = y.mean() if n else 0.0
     if not 0 < share < 1:
-        none.bias = 40.0 if share else -40.0
-        return none
-    rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    seen = np.bincount(flat, minlength=BUCKETS)
-    toxic = np.bincount(flat, y[rows], BUCKETS)
-    # How far a bucket's share of toxic rows lies from the share of all, in standard errors.
-    z = (toxic - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
-    z[seen < 4] = 0
-    order = np.argsort(-np.abs(z), kind="stable")[:CHOSEN]
-    order = order[np.abs(z[order]) >= 3]
-    index = np.full(BUCKETS, -1)
-    index[order] = np.arange(len(order))
-    used = (index >= 0)[flat]
-    rows, f = rows[used], index[flat[used]]
-    del used
+        return Machine(index, 40.0 if share else -40.0, np.zeros(0), np.zeros((0, RANK)))
+    rows = np.repeat(np.arange(n), [len(f) for f in features])
+    f = np.concatenate([*features, np.zeros(0, np.int64)])
     rng = np.random.default_rng(SEED)
-    bias, w, v = float(np.log(share / (1 - share))), np.zeros(len(order)), rng.normal(0, 0.01, (len(order), RANK))
+    bias, w, v = float(np.log(share / (1 - share))), np.zeros(used), rng.normal(0, 0.01, (used, RANK))
+    counts = np.where(y > 0, TOXIC_WEIGHT, 1.0)
+    counts /= counts.sum()
     moments = [np.zeros(2), *(np.zeros((2, *x.shape)) for x in (w, v))]
     for step in range(1, STEPS + 1):
         m, total = margins(rows, f, n, bias, w, v)
-        g = (sigmoid(m) - y) / n
+        g = (sigmoid(m) - y) * counts
         gf = g[rows]
         gw = np.bincount(f, gf, len(w))
         gv = np.stack([np.bincount(f, gf * total[rows, k], len(w)) for k in range(RANK)], 1) - gw[:, None] * v
@@ -120,10 +126,24 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.float64()), pa.array([terms(x.as_py()).astype(np.int32) for x in b.column(1)], pa.list_(pa.int32()))], ["y", "f"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("y", F.col("text").cast("binary")).mapInArrow(run, "y double, f array<int>").toArrow()
-    lists = rows.column("f").combine_chunks()
-    sizes, y = np.diff(lists.offsets.to_numpy()), (rows.column("y").to_numpy() > 0).astype(np.float64)
-    return fitted(lists.flatten().to_numpy(), sizes, y)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # at most `sample` rows
+    rows = reliable(rows.select("y", F.col("text").cast("binary")).mapInArrow(run, "y double, f array<int>"))
+    counts = rows.select(F.explode("f").alias("b"), (F.col("y") > 0).cast("int").alias("t")).groupBy("b").agg(F.count("*").alias("seen"), F.sum("t").alias("toxic")).toArrow()  # at most BUCKETS
+    seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    b = counts.column("b").to_numpy()
+    seen[b], toxic[b] = counts.column("seen").to_numpy(), counts.column("toxic").to_numpy()
+    total = rows.agg(F.count("*"), F.sum((F.col("y") > 0).cast("int"))).first()
+    index = chosen(seen, toxic, np.r_[np.ones(total[1] or 0), np.zeros(total[0] - (total[1] or 0))])
+
+    def used(batches):
+        for b in batches:
+            lists = [index[x.values.to_numpy()] if len(x) else np.zeros(0, np.int64) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[x >= 0].astype(np.int32) for x in lists], pa.list_(pa.int32()))], ["y", "f"])
+
+    found = rows.mapInArrow(used, "y double, f array<int>").toArrow()
+    discard(rows)
+    pairs = sorted((float(y > 0), f) for y, f in zip(found.column("y").to_pylist(), found.column("f").to_pylist()))  # in an order of their own
+    return fitted([np.array(f, np.int64) for _, f in pairs], np.array([y for y, _ in pairs]), index)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -448,6 +448,28 @@ def test_toxicity_learns_pairs():
     assert hit.mean() > 0.95
 
 
+def test_toxicity_against_pairwise_sums():
+    rng = np.random.default_rng(2)
+    index = np.full(toxicity.BUCKETS, -1)
+    index[rng.choice(toxicity.BUCKETS, 40, replace=False)] = np.arange(40)
+    m = toxicity.Machine(index, -0.7, rng.normal(0, 1, 40), rng.normal(0, 1, (40, 4)))
+    own = np.flatnonzero(index >= 0)
+    buckets = [np.sort(rng.choice(own, n, replace=False)) for n in (0, 1, 2, 7, 40)] + [np.array([int(np.flatnonzero(index < 0)[0])])]
+    want = []
+    for b in buckets:
+        f = [k for k in index[b] if k >= 0]
+        want.append(-0.7 + sum(m.w[k] for k in f) + sum(m.v[i] @ m.v[j] for i, j in itertools.combinations(f, 2)))
+    assert np.allclose(m.margins(buckets), want)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = toxicity.scored(docs, toxicity.learned(docs, labels)).filter("held_out").join(labels, "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.002 * n[0, 0]
+
+
 def test_toxicity(spark):
     rows, docs = corpus(spark, 200)
     rows = [(k, (t or "") + " scum" if k and k % 9 == 0 else t, *r) for k, t, *r in rows]
