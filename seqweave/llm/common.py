@@ -13,6 +13,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest number of rows of a few numbers each that an operator broadcasts; beyond it, it joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes in a row group of an intermediate table.
+ROW_GROUP = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,7 @@ def reliable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)  # writers and readers hold a row group in memory
     out = spark.read.schema(df.schema).parquet(path)
     out.path_ = path
     return out

@@ -359,7 +359,7 @@ def prefixes(sets: DataFrame, similarity: float, common=None) -> DataFrame:
 
     def run(batches):
         known, often = common.value if common else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             lists, ends = b.column(1), np.r_[0, np.cumsum(b.column(1).value_lengths().to_numpy())]
             h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             count = np.zeros(len(h), np.int64)
@@ -466,13 +466,13 @@ def alike(members: DataFrame, similarity: float, tile: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, used: list | None = None) -> DataFrame:
     """doc_id, key, keeper, keeper_key: of every row, the row that stays for it, itself if it is unlike all others.
 
     Two documents are alike if their sets of `width`-word shingles have the given Jaccard similarity. Candidates are linked
     by prefixes of the sets, which loses no such pair, and are verified among what such links connect. A group is what
     likeness connects; the row of the smallest doc_id stays, null last, then that of the smallest key, a hash of all
-    columns. Documents without words are copies of each other.
+    columns. Documents without words are copies of each other. `used`, if given, receives the tables that the result reads.
     """
     rows = docs.select("doc_id", row_hash(docs).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     marked = reliable(shingle_sets(rows, width).withColumn("row", F.monotonically_increasing_id()))
@@ -480,21 +480,26 @@ def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float
     nodes = reliable(marked.groupBy("t1", "t2").agg(rep).withColumn("id", F.monotonically_increasing_id()))
     one = nodes.select("id", F.col("rep.row").alias("row"))
     sets = marked.select("row", "s").join(small(one), "row").select("id", "s")
-    found = reliable(connected(prefix_links(sets, similarity)))
-    members = reliable(found.select(F.col("root").alias("g"), F.col("v").alias("id")))
+    members = reliable(connected(prefix_links(sets, similarity)).select(F.col("root").alias("g"), F.col("v").alias("id")))
     comps = reliable(connected(alike(sets.join(small(members), "id").select("g", "id", "s"), similarity, NEAR_TILE)))
+    slim = reliable(marked.select("doc_id", "key", "t1", "t2"))
+    discard(marked, members)
     member = reliable(comps.join(nodes.select("id", "rep"), F.col("v") == F.col("id")).select("root", "v", "rep"))
     best = reliable(member.join(member.groupBy("root").agg(F.min("rep").alias("best")), "root").select(F.col("v").alias("id"), "best"))
     keepers = reliable(nodes.join(small(best), "id", "left").select("t1", "t2", F.coalesce("best", "rep").alias("best")))
-    out = marked.select("doc_id", "key", "t1", "t2").join(keepers, ["t1", "t2"])
+    if used is not None:
+        used += [slim, keepers]
+    out = slim.join(keepers, ["t1", "t2"])
     return out.select("doc_id", "key", F.col("best.doc_id").alias("keeper"), F.col("best.key").alias("keeper_key"))
 
 
 def deduplicated(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """The rows of docs that stay, one of each group of near-duplicates, all columns; of rows equal in all of them, one."""
-    found = near_duplicates(docs, width, similarity)
+    used: list = []
+    found = near_duplicates(docs, width, similarity, used)
     stays = F.col("doc_id").eqNullSafe(F.col("keeper")) & (F.col("key") == F.col("keeper_key"))
     found = reliable(found.groupBy(F.col("doc_id").alias("d_"), F.col("key").alias("k_")).agg(F.min(stays).alias("stays"), F.count("*").alias("n")))
+    discard(*used)
     gone = reliable(found.filter("not stays").select("d_", "k_"))
     kept = docs.withColumn("key_", row_hash(docs))
     kept = kept.join(small(gone), F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("key_") == F.col("k_")), "left_anti").drop("key_")
