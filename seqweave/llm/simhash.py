@@ -29,7 +29,9 @@ WIDTH, RADIUS = 3, 2
 #: Fingerprints in a tile.
 TILE = 4096
 #: Of near_duplicates(): words in a shingle, least Jaccard similarity, documents in a tile.
-NEAR_WIDTH, NEAR_SIMILARITY, NEAR_TILE = 5, 0.8, 512
+NEAR_WIDTH, NEAR_SIMILARITY, NEAR_TILE = 5, 0.8, 256
+#: Documents whose shingles are held at once.
+AT_ONCE = 500
 #: Shingles in more prefixes than COMMON stand last in the order of shingles; they are sought in at most
 #: COMMON_ROUNDS rounds, up to COMMON_MOST of them a round. None of these changes the result: any order of shingles is exact.
 COMMON, COMMON_MOST, COMMON_ROUNDS = 4, 1_000_000, 3
@@ -219,7 +221,7 @@ def by_groups(batches, most: int = 100_000):
         end = len(g) if last else int(np.searchsorted(g, g[-1]))
         return whole.slice(0, end), whole.slice(end)
 
-    for b in batches:
+    for b in (whole.slice(at, most) for whole in batches for at in range(0, whole.num_rows, most)):
         if b.num_rows:
             kept.append(b)
             rows += b.num_rows
@@ -336,7 +338,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, key, t1, t2, s: the sorted distinct 64-bit hashes of a text's shingles (s), and two hashes of s."""
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) if (t := tokens(x.as_py())) else np.zeros(0, np.int64) for x in b.column(2)]
             t1 = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
             t2 = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets), np.uint64, len(sets)).view(np.int64)
@@ -359,7 +361,7 @@ def prefixes(sets: DataFrame, similarity: float, common=None) -> DataFrame:
 
     def run(batches):
         known, often = common.value if common else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+        for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             lists, ends = b.column(1), np.r_[0, np.cumsum(b.column(1).value_lengths().to_numpy())]
             h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             count = np.zeros(len(h), np.int64)
@@ -448,7 +450,7 @@ def alike(members: DataFrame, similarity: float, tile: int) -> DataFrame:
     rows = rows.repartition("k").sortWithinPartitions("k", "id")
 
     def run(batches):
-        for t in by_groups(batches, 5_000):
+        for t in by_groups(batches, AT_ONCE):
             g = t.column(0).to_numpy()
             starts = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
             for lo, hi in zip(starts, starts[1:]):

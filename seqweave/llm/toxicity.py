@@ -29,6 +29,8 @@ FOLDS, HELD_OUT = 5, 0
 STEPS, RATE, PENALTY, SEED = 200, 0.05, 1e-4, 11
 #: How much a toxic row counts against a clean one, as toxic rows are few.
 TOXIC_WEIGHT = 4.0
+#: Texts whose terms are held at once.
+AT_ONCE = 250
 #: Stripped from both ends of a word.
 MARKS = b".,;:!?%$#&*\"'()[]<>-_"
 
@@ -152,8 +154,8 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(at, AT_ONCE)
                 score = sigmoid(shared.value.margins([terms(x.as_py()) for x in part.column(2)]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -169,7 +171,8 @@ def clean(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None)
 
     @F.pandas_udf("boolean")
     def toxic(text: pd.Series) -> pd.Series:
-        return pd.Series(sigmoid(shared.value.margins([terms(x) for x in text])) >= 0.5)
+        parts = [sigmoid(shared.value.margins([terms(x) for x in text.iloc[at : at + AT_ONCE]])) for at in range(0, len(text), AT_ONCE)]
+        return pd.Series(np.concatenate([*parts, np.zeros(0)]) >= 0.5)
 
     return docs.filter(~toxic(F.col("text").cast("binary")))
 
