@@ -38,9 +38,9 @@ from seqweave.llm.common import discard, id_remainder, reliable
 FOLDS, HELD_OUT = 7, 2
 HEAD, SYMBOLS, STATES, ROUNDS = 1 << 18, 1 << 14, 8, 2
 #: Frequent words whose meetings give the start, symbols in a segment of a long text, and the seed of the start.
-ANCHORS, PIECE, SEED = 256, 200_000, 5
+ANCHORS, PIECE, SEED = 128, 200_000, 5
 #: Tokens handled at once; distinct words that a partition counts before it passes them on.
-AT_ONCE, FLUSH = 1_000_000, 400_000
+AT_ONCE, FLUSH = 250_000, 400_000
 #: Weight, in tokens, of the corpus's word frequencies in a state's emissions.
 SMOOTH = 200.0
 END = b""
@@ -267,7 +267,7 @@ def encoded(docs: DataFrame, voc: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(voc)
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(at, 2500) for whole in batches for at in range(0, whole.num_rows, 2500)):
             yield pa.RecordBatch.from_arrays([pa.array([as_symbols(shared.value, s) for s in sequences(shared.value, b.column(0))], pa.list_(pa.int32()))], ["s"])
 
     return docs.select(F.col("text").cast("binary")).mapInArrow(run, "s array<int>")
@@ -284,7 +284,7 @@ def summed(rows: DataFrame, run, columns: int, size: int) -> np.ndarray:
 
     def add_up(batches):
         table = np.zeros((size, columns))
-        for b in batches:
+        for b in (whole.slice(at, 2500) for whole in batches for at in range(0, whole.num_rows, 2500)):
             run(arrays(b.column(0)), table)
         used = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(np.ascontiguousarray(table[used, k])) for k in range(columns))], ["k", *names])
@@ -326,14 +326,14 @@ def starting(rows: DataFrame, voc: Vocabulary, states: int) -> Model:
         return updated(voc, np.ones(states), np.eye(states) * 100.0, jitter)
 
     def meet(seqs, table):
-        for at in range(0, len(seqs), 4096):
-            part = seqs[at : at + 4096]
+        for at in range(0, len(seqs), 1024):
+            part = seqs[at : at + 1024]
             x = np.zeros((len(part), anchors), np.float32)
             for i, s in enumerate(part):
                 x[i, s[s < anchors]] = 1
-            table += x.T @ x
+            table[:, 0] += (x.T @ x).ravel()
 
-    group = anchor_groups(summed(rows, meet, anchors, anchors), states)
+    group = anchor_groups(summed(rows, meet, 1, anchors * anchors).reshape(anchors, anchors), states)
 
     def gather(seqs, table):
         for s in seqs:
