@@ -5,9 +5,11 @@ one key at most for each pair of lengths. The first filter holds the listed keys
 corpus that the first wrongly passes; the third, those listed keys that the second passes; and so on, until a
 filter passes nothing wrong. The number of the first filter that a key fails tells on which side it is, so
 urls are judged without a join. A second cascade separates the listed keys that block from those that allow.
+Every level hashes anew, so keys that share their bits on one level part on the next.
 
 Filters are built by distributed aggregation of their words. One filter has at most `most_bits` bits; a list that
-needs more is matched by a shuffled join of the corpus's distinct keys instead.
+needs more, or two keys that share all 62 bits of their hashes, are matched by a shuffled join of the corpus's distinct
+keys instead.
 
 Defined results: null urls and urls without `://` have an empty host and path, fit no rule and are allowed, as is
 every url that no rule fits; the longest host wins, then the longest path; of equal rules, block wins; repeated
@@ -18,6 +20,7 @@ replaced.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +32,8 @@ from seqweave.llm.common import lower_ascii, reliable
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 BITS, HASHES, MOST_BITS = 12, 6, 1 << 28
+#: Levels of a cascade, and the prime field in which each level has its own linear hashes of a key's two halves.
+LEVELS, PRIME = 64, (1 << 31) - 1
 DEFAULT = "allow"
 
 
@@ -39,17 +44,21 @@ class Filter:
 
     def passes(self, h1: np.ndarray, h2: np.ndarray, level: int) -> np.ndarray:
         out = np.ones(len(h1), bool)
+        start, stride = mixed(h1, h2, level)
         for k in range(HASHES):
-            at = position(h1, h2, k, level, self.bits)
+            at = (start + k * stride) % self.bits
             out &= (self.words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
         return out
 
 
-def position(h1, h2, k: int, level: int, bits: int):
-    """One of a key's bits; of arrays or of Spark columns. The hashes are below 2**31."""
-    if isinstance(h1, np.ndarray):
-        return (h1 + (k + level * HASHES) * h2) % bits
-    return F.pmod(h1 + h2 * F.lit(k + level * HASHES), F.lit(bits))
+def mixed(h1, h2, level: int) -> tuple:
+    """Start and stride of a key's bits on a level, linear hashes of its halves; of arrays or of Spark columns.
+
+    The halves and factors are below 2**31, so sums of two products stay within 63 bits.
+    """
+    draw = random.Random(level)
+    f = [draw.randrange(1, PRIME) for _ in range(4)]
+    return (h1 * f[0] + h2 * f[1]) % PRIME, (h1 * f[2] + h2 * f[3]) % PRIME
 
 
 def halves(key):
@@ -84,11 +93,11 @@ def keys(host, path, lengths: list[tuple[int, int]]):
 def filter_of(df: DataFrame, n: int, level: int) -> Filter:
     """A Bloom filter of df's keys (h1, h2); its words are summed up by Spark, at most n x BITS / 64 of them."""
     bits = max(64, 1 << math.ceil(math.log2(max(1, n) * BITS)))
-    at = F.explode(F.array(*[position(F.col("h1"), F.col("h2"), k, level, bits) for k in range(HASHES)])).alias("at")
+    start, stride = mixed(F.col("h1"), F.col("h2"), level)
+    at = F.explode(F.array(*[(start + stride * k) % bits for k in range(HASHES)])).alias("at")
     words = df.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("w"))
-    out = np.zeros(bits // 64, np.int64)
-    for word, w in words.collect():
-        out[word] = w
+    out, words = np.zeros(bits // 64, np.int64), words.toArrow()  # at most bits / 64 rows of two numbers
+    out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return Filter(bits, out.view(np.uint64))
 
 
@@ -102,15 +111,13 @@ def passing(df: DataFrame, level: int, f: Filter) -> DataFrame:
     return df.mapInPandas(run, df.schema)
 
 
-def cascade(yes: DataFrame, no: DataFrame, most_bits: int = MOST_BITS, rounds: int = 40) -> list[Filter] | None:
-    """Filters that tell the keys (h1, h2) of `yes` from those of `no`; None if one would be too large."""
+def cascade(yes: DataFrame, no: DataFrame, most_bits: int = MOST_BITS) -> list[Filter] | None:
+    """Filters that tell the keys (h1, h2) of `yes` from those of `no`; None if one would be too large, or none can."""
     out: list[Filter] = []
     own, other = yes, no
     n = own.count()
     while n:
-        if len(out) == rounds:
-            raise ValueError("two keys share all their hashes")
-        if n * BITS > most_bits:
+        if n * BITS > most_bits or len(out) == LEVELS:
             return None
         f = filter_of(own, n, len(out))
         out.append(f)
