@@ -61,7 +61,10 @@ def discard(*frames: DataFrame) -> None:
 
 
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `most` rows, else unchanged; df must be cheap to count."""
+    """df with a broadcast hint if it has at most `most` rows, else unchanged; df must be cheap to count.
+
+    Where rows hold arrays, `rows` is the number of their elements.
+    """
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 

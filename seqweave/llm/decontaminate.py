@@ -65,14 +65,19 @@ def held(docs: DataFrame, items: DataFrame, width: int, containment: float) -> D
     """
     docs = docs.select("doc_id", "k1", "text")
     sets = reliable(item_sets(items, width))
-    widths = sorted(r[0] for r in sets.select("width").distinct().collect()) or [width]
+    widths, total = sets.agg(F.collect_set("width"), F.coalesce(F.sum("n"), F.lit(0))).first()  # at most `width` widths
+    widths = sorted(widths) or [width]
     index = reliable(sketches(sets, widths, containment).distinct())
     found = docs.select("k1", F.explode(let(words(F.col("text")), lambda w: hashes(w, widths))).alias("h"))
     found = reliable(found.join(small(index), "h").select("k1", "item_id").distinct())
     by_row = reliable(found.groupBy("k1").agg(F.collect_set("item_id").alias("items")))
-    pairs = docs.join(small(by_row), "k1").select("doc_id", "k1", "text", F.explode("items").alias("item_id")).join(small(sets), "item_id")
-    shared = let(words(F.col("text")), lambda w: F.size(F.array_intersect("s", shingles(w, F.col("width")))))
-    pairs = pairs.select("doc_id", "k1", F.crc32(F.col("text").cast("binary")).alias("k2"), "item_id", F.col("n").cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
+    # A document's shingles are made once, then meet each of its candidates.
+    own = let(words(F.col("text")), lambda w: F.array(*[shingles(w, k) for k in widths]))
+    k2 = F.crc32(F.col("text").cast("binary")).alias("k2")
+    rows = docs.join(small(by_row, found.count()), "k1").select("doc_id", "k1", k2, own.alias("own"), "items")
+    pairs = rows.withColumn("item_id", F.explode("items")).join(small(sets, total), "item_id")
+    shared = F.size(F.array_intersect("s", F.get("own", F.array_position(F.array(*map(F.lit, widths)), F.col("width")).cast("int") - 1)))
+    pairs = pairs.select("doc_id", "k1", "k2", "item_id", F.col("n").cast("long").alias("n_shingles"), shared.cast("long").alias("n_shared"))
     return pairs.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("containment") >= containment)
 
 
