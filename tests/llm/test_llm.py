@@ -161,6 +161,31 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_many_items_at_once(spark, monkeypatch):
+    """One document with items of several widths, repeated rows, and tables too large to broadcast."""
+    rng = random.Random(14)
+    items = [" ".join(f"q{rng.randrange(60)}" for _ in range(rng.choice([1, 2, 3, 5, 9, 40]))) for _ in range(40)]
+    texts = [" ".join(rng.sample(items, rng.randrange(1, 12))) for _ in range(30)]
+    docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate([*texts, texts[0]])] * 2, "doc_id long, text string, own string")
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def cut(t, k):
+        w = t.split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want = {}
+    for d, t in enumerate([*texts, texts[0]]):
+        for i, x in enumerate(items):
+            k = min(5, len(x.split()))
+            s = cut(x, k)
+            if len(s & cut(t, k)) >= 0.8 * len(s):
+                want[d, i] = (len(s), len(s & cut(t, k)))
+    for most in (decontaminate.small.__defaults__[-1], 0):
+        monkeypatch.setattr(decontaminate.small, "__defaults__", (None, most))
+        got = [((r.doc_id, r.item_id), (r.n_shingles, r.n_shared)) for r in decontaminate.contaminated(docs, table).collect()]
+        assert dict(got) == want and len(got) == len(want)
+
+
 def test_hypergeometric_matrix():
     rows, columns = [30, 0, 70, 11], [40, 41, 30]
     total = np.zeros((4, 3))
@@ -256,6 +281,18 @@ def test_url_rules(spark, most_bits):
     assert {r.verdict for r in urlfilter.judged(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_levels_hash_anew(spark):
+    """A key whose halves agree with a listed one's in their last 20 bits is told from it on some level."""
+    yes, no = (spark.createDataFrame([x], "h1 long, h2 long") for x in ((5, 6), (5 + (3 << 20), 6 + (7 << 20))))
+    c = urlfilter.cascade(yes, no)
+    assert urlfilter.member(c, np.array([5, 5 + (3 << 20)]), np.array([6, 6 + (7 << 20)])).tolist() == [True, False]
+
+
+def test_keys_of_equal_hashes_leave_the_cascade(spark):
+    same = spark.createDataFrame([(5, 6)], "h1 long, h2 long")
+    assert urlfilter.cascade(same, same) is None
+
+
 def test_cascade_is_exact(spark):
     keys = urlfilter.with_halves(spark.range(4000).select(F.col("id").cast("string").alias("key")))
     yes, no = keys.filter("cast(key as int) % 7 = 0").select("h1", "h2"), keys.filter("cast(key as int) % 7 <> 0").select("h1", "h2")
