@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from seqweave.operators.committing import committed, committed_differences
 from seqweave.operators import matching
-from seqweave.operators.matching import AUTOMATON_SYMBOLS, CHUNK, chunked, reference_chunks, reference_size, reference_symbols
+from seqweave.operators.matching import AT_ONCE, AUTOMATON_SYMBOLS, CHUNK, chunked, reference_chunks, reference_size, reference_symbols
 from seqweave.operators.parsing import differential, parser
 from seqweave.schema import PHRASES, IndexConfig, alphabet
 
@@ -265,7 +265,7 @@ def encode(
         ref = shared.value if shared else None
         for b in batches:
             rows = []
-            for row in b.to_pylist():
+            for row in each_row(b):
                 own = row["symbols"] or []
                 if given:
                     ptr, lens = row["ptr"] or [], row["len"] or []
@@ -281,8 +281,10 @@ def encode(
                 else:
                     found = committed(parser(config.parser)(ptr, lens, **options), own, config.diff_bits, config.literal_cap, config.copy_cap, rules, splits)
                 rows += [(row["input_id"], *x) for x in found]
-            columns = list(zip(*rows)) or [()] * len(NAMES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
+                if len(rows) >= AT_ONCE:
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
 
     rows = inputs.select("input_id", "symbols")
     if given:
@@ -291,6 +293,17 @@ def encode(
     return Index(rows.mapInArrow(run, PHRASES), reference, config)
 
 
+def each_row(batch: pa.RecordBatch):
+    """The rows of a batch as dicts, one at a time, as sequences may be long."""
+    return (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows))
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of the phrase table as a batch."""
+    columns = list(zip(*rows)) or [()] * len(NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCHEMA)], schema=SCHEMA)
+
+
 def filled(pos: list[int], ptr: list[int], lens: list[int], n: int) -> tuple[list, list]:
     """ptr and len of all n positions from those of the positions that match."""
     all_ptr, all_len = [None] * n, [0] * n
@@ -308,7 +321,7 @@ def events_of(wide: DataFrame, name: str, **options) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = [(r["input_id"], k, *e) for r in b.select(["input_id", "ptr", "len"]).to_pylist() for k, e in enumerate(parser(name)(r["ptr"], r["len"], **options))]
+            out = [(r["input_id"], k, *e) for r in each_row(b.select(["input_id", "ptr", "len"])) for k, e in enumerate(parser(name)(r["ptr"], r["len"], **options))]
             cols = list(zip(*out)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["input_id", "ord", "kind", "pos", "ptr", "len"])

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 AUTOMATON_SYMBOLS = 500_000
 #: Symbols in a chunk of a sequence.
 CHUNK = 1024
+#: Symbols, or phrases, after which a Python worker hands its rows on.
+AT_ONCE = 1 << 16
 
 
 class Automaton:
@@ -72,16 +74,18 @@ class Automaton:
         """ptr and len of each position."""
         n = len(symbols)
         ptr, lens = [None] * n, [0] * n
+        moves, link, longest, ends, top = self.next, self.link, self.length, self.end, self.n - 1
         state, length = 0, 0
         for pos in range(n - 1, -1, -1):
             c = symbols[pos]
-            while state and c not in self.next[state]:
-                state = self.link[state]
-                length = self.length[state]
-            if c in self.next[state]:
-                state = self.next[state][c]
-                length += 1
-                ptr[pos], lens[pos] = self.n - 1 - self.end[state], length
+            to = moves[state].get(c)
+            while to is None and state:
+                state = link[state]
+                length = longest[state]
+                to = moves[state].get(c)
+            if to is not None:
+                state, length = to, length + 1
+                ptr[pos], lens[pos] = top - ends[to], length
         return ptr, lens
 
 
@@ -155,10 +159,14 @@ def matches_wide(inputs: DataFrame, reference: list[int]) -> DataFrame:
     def run(batches):
         machine = automaton(name, lambda: shared.value)
         for b in batches:
+            found, first, held = [], 0, 0
             for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                ptr, lens = machine.matches(row.column(1)[0].as_py() or [])
-                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([ptr], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64()))], ["input_id", "symbols", "ptr", "len"])
+                found.append(machine.matches(b.column(1)[k].as_py() or []))
+                held += len(found[-1][0])
+                if held >= AT_ONCE or k + 1 == b.num_rows:
+                    both = [pa.array(x, pa.list_(pa.int64())) for x in zip(*found)]
+                    yield pa.RecordBatch.from_arrays([*b.slice(first, k + 1 - first).columns, *both], ["input_id", "symbols", "ptr", "len"])
+                    found, first, held = [], k + 1, 0
 
     return inputs.select("input_id", "symbols").mapInArrow(run, "input_id long, symbols array<bigint>, ptr array<bigint>, len array<bigint>")
 
