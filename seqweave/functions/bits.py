@@ -2,6 +2,9 @@
 
 Sums over a vector are two-level: blocks of BLOCK positions are summed by a plain aggregation, the blocks' sums are
 summed over one row per block, and windows run inside blocks only; so one long vector still spreads over tasks.
+
+Defined results: a null bit is a zero, a null length adds nothing; rows of a null vector are a vector of their own; rows
+of a null position are left out; positions of a vector are distinct; extra columns pass through; no rows give none.
 """
 
 from __future__ import annotations
@@ -16,13 +19,13 @@ BLOCK = 65_536
 def prefix_sum(df: DataFrame, key: str, order: str, value: str, out: str, inclusive: bool = True) -> DataFrame:
     """df with the sum of `value` over the rows of the key up to (or before) this one; order counts 0, 1, 2, ..."""
     block = F.floor(F.col(order) / BLOCK)
-    rows = df.withColumn("block_", block)
+    rows = df.filter(F.col(order).isNotNull()).withColumn("block_", block)
     sums = rows.groupBy(key, "block_").agg(F.sum(value).alias("s_"))
     before = W.partitionBy(key).orderBy("block_").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col(key).alias("k_"), F.col("block_").alias("b_"), F.coalesce(F.sum("s_").over(before), F.lit(0)).alias("start_"))
     inside = W.partitionBy(key, "block_").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     rows = rows.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    rows = rows.join(starts, (F.col(key) == F.col("k_")) & (F.col("block_") == F.col("b_")))
+    rows = rows.join(starts, F.col(key).eqNullSafe(F.col("k_")) & (F.col("block_") == F.col("b_")))
     return rows.withColumn(out, (F.col(out) + F.col("start_")).cast("long")).drop("block_", "k_", "b_", "start_")
 
 
@@ -45,7 +48,8 @@ def ones_from(bits: DataFrame, k: int) -> DataFrame:
 def words(bits: DataFrame, width: int = 32) -> DataFrame:
     """vec_id, word, value: bits packed in words, the first lowest."""
     shift = f"shiftleft(cast(bit as bigint), cast(pos % {width} as int))"
-    return bits.groupBy("vec_id", F.floor(F.col("pos") / width).alias("word")).agg(F.expr(f"bit_or({shift})").alias("value"))
+    rows = bits.filter(F.col("pos").isNotNull())
+    return rows.groupBy("vec_id", F.floor(F.col("pos") / width).alias("word")).agg(F.expr(f"coalesce(bit_or({shift}), 0L)").alias("value"))
 
 
 def word_read(packed: DataFrame, reads: DataFrame, width: int = 32) -> DataFrame:

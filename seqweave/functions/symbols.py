@@ -94,9 +94,24 @@ def _unpacked(words: Column, bits: int, n: Column) -> Column:
 
 
 def dna_letters(codes: Column, marked: Column) -> Column:
-    """A DNA string from codes and the positions of N."""
-    letters = F.array(*[F.lit(k) for k, _ in sorted(DNA.items(), key=lambda x: x[1])])
-    return F.array_join(F.transform(codes, lambda c, i: F.when(F.array_contains(marked, i.cast("long")), "N").otherwise(F.get(letters, c.cast("int")))), "")
+    """A DNA string from codes and the positions of N; null codes are left out. Linear, which a lookup for each letter is not."""
+
+    @F.pandas_udf("string")
+    def joined(codes: pd.Series, marked: pd.Series) -> pd.Series:
+        letters = np.array([*sorted(DNA, key=DNA.get), ""])
+
+        def one(c, m):
+            if c is None:
+                return None
+            c = pd.array(c, "Int64")
+            out = letters[c.fillna(len(DNA)).to_numpy(np.int64)].astype(object)
+            if m is not None and len(m):
+                out[np.asarray(m, np.int64)] = "N"
+            return "".join(out)
+
+        return pd.Series([one(c, m) for c, m in zip(codes, marked)], dtype=object)
+
+    return joined(codes, marked)
 
 
 def escape_pack(x: Column, low: int, high: int) -> Column:
@@ -108,8 +123,23 @@ def escape_pack(x: Column, low: int, high: int) -> Column:
 
 
 def escape_unpack(packed: Column, high: int) -> Column:
-    found = F.map_from_entries(packed["exceptions"])
-    return F.transform(packed["small"], lambda v, i: F.when(v == high, F.element_at(found, i.cast("long"))).otherwise(v))
+    """The values before escape_pack(); an escape without an exception is null. Linear, which a lookup for each escape is not."""
+
+    @F.pandas_udf("array<bigint>")
+    def filled(small: pd.Series, places: pd.Series, values: pd.Series) -> pd.Series:
+        def one(s, idx, v):
+            if s is None:
+                return None
+            s = pd.array(s, "Int64")
+            s[(s == high).fillna(False)] = pd.NA
+            if idx is not None and len(idx):
+                s[np.asarray(idx, np.int64)] = pd.array(v, "Int64")
+            return [None if x is pd.NA else x for x in s]
+
+        return pd.Series([one(*x) for x in zip(small, places, values)], dtype=object)
+
+    rest = packed["exceptions"]
+    return filled(packed["small"], F.transform(rest, lambda e: e.idx), F.transform(rest, lambda e: e.value))
 
 
 def render(symbols: Column, text: bool) -> Column:

@@ -251,3 +251,24 @@ def test_zero_tail(spark, tmp_path):
     assert files.read_binary(spark, str(tmp_path / "x.bin"), "<u2", extra=3).first().symbols == [5, 7, 0, 0, 0]
     with pytest.raises(Exception, match="within a symbol"):
         files.read_binary(spark, str(tmp_path / "x.bin"), "<u2", strict=True).collect()
+
+
+def test_bits_with_nulls(spark):
+    rows = [(1, 0, 1, "x"), (1, 1, None, "x"), (1, 2, 1, "x"), (None, 0, 1, "y"), (None, 1, 1, "y"), (1, None, 1, "z")]
+    b = spark.createDataFrame(rows, "vec_id long, pos long, bit int, extra string")
+    got = {(r.vec_id, r.pos): (r.rank1, r.rank0, r.extra) for r in bits.rank1(b).collect()}
+    assert got == {(1, 0): (0, 0, "x"), (1, 1): (1, 0, "x"), (1, 2): (1, 1, "x"), (None, 0): (0, 0, "y"), (None, 1): (1, 0, "y")}
+    assert {(r.vec_id, r.k, r.pos) for r in bits.select1(b).collect()} == {(1, 1, 0), (1, 2, 2), (None, 1, 0), (None, 2, 1)}
+    assert {(r.vec_id, r.word, r.value) for r in bits.words(b).collect()} == {(1, 0, 5), (None, 0, 3)}
+    assert bits.rank1(b.limit(0)).count() == bits.select1(b.limit(0)).count() == bits.words(b.limit(0)).count() == 0
+
+
+def test_long_arrays_of_escapes_and_markers(spark):
+    """Linear work: each value an exception, each letter an N."""
+    n = 60_000
+    rows = [(0, list(range(1000, 1000 + n)), "N" * n), (1, [], ""), (2, None, None), (3, [1, None, 900], "ANT"), (4, [7], "G")]
+    df = spark.createDataFrame(rows, "k long, x array<bigint>, t string")
+    got = {r.k: r for r in df.select("k", "x", "t", symbols.escape_unpack(symbols.escape_pack(symbols.F.col("x"), 0, 255), 255).alias("y"), symbols.dna_letters(symbols.dna_codes(symbols.F.col("t")), symbols.n_positions(symbols.F.col("t"))).alias("u")).collect()}
+    for k in (0, 1, 2, 4):
+        assert got[k].y == got[k].x and got[k].u == got[k].t
+    assert got[3].y == [1, None, 900] and got[3].u == "ANT"
