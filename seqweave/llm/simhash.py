@@ -15,15 +15,16 @@ nothing else is there; further columns are ignored.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweave.llm.common import discard, reliable, row_hash, small
+from seqweave.llm.common import BROADCAST_ROWS, discard, reliable, row_hash, small
 
 WIDTH, RADIUS = 3, 2
 #: Fingerprints in a tile.
@@ -35,6 +36,8 @@ AT_ONCE = 500
 #: Shingles in more prefixes than COMMON stand last in the order of shingles; they are sought in at most
 #: COMMON_ROUNDS rounds, up to COMMON_MOST of them a round. None of these changes the result: any order of shingles is exact.
 COMMON, COMMON_MOST, COMMON_ROUNDS = 4, 1_000_000, 3
+#: Prefixes that hold a shingle, up to which all their pairs are counted. Does not change the result.
+GROUP = 16
 STEP = 65_536
 
 
@@ -334,18 +337,46 @@ def near_classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, tile
     return marked.join(member, marked.fp == member.fp_).select("doc_id", "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key, t1, t2, s: the sorted distinct 64-bit hashes of a text's shingles (s), and two hashes of s."""
+def distinct_shingles(raw: bytes | None, width: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles."""
+    return np.unique(shingle_hashes(t, width)) if (t := tokens(raw)) else np.zeros(0, np.uint64)
+
+
+def set_batches(batches, width: int, seed: int = 0):
+    """Yields each record batch (text last) in parts, with the sets of shingles of its texts and a hash of each set."""
+    for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
+        sets = [distinct_shingles(x.as_py(), width) for x in b.column(b.num_columns - 1)]
+        yield b, sets, np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes(), seed) for x in sets), np.uint64, len(sets)).view(np.int64)
+
+
+def set_marks(rows: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """doc_id, key, id, t2 of rows (doc_id, key, text): two hashes of the set of shingles."""
 
     def run(batches):
-        for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
-            sets = [np.unique(shingle_hashes(t, width)).view(np.int64) if (t := tokens(x.as_py())) else np.zeros(0, np.int64) for x in b.column(2)]
-            t1 = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
-            t2 = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(t1), pa.array(t2), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "key", "t1", "t2", "s"])
+        for b, sets, ids in set_batches(batches, width, seed):
+            t2 = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), seed + 1) for x in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *map(pa.array, (ids, t2))], ["doc_id", "key", "id", "t2"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key long, t1 long, t2 long, s array<long>")
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key long, id long, t2 long")
+
+
+def shingle_sets(rows: DataFrame, width: int, seed: int = 0) -> DataFrame:
+    """id, s: the sorted distinct hashes of each text's shingles, and the hash of that set which set_marks() gives."""
+
+    def run(batches):
+        for _, sets, ids in set_batches(batches, width, seed):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["id", "s"])
+
+    return rows.select(F.col("text").cast("binary")).mapInArrow(run, "id long, s array<long>")
+
+
+def by_key(rows: DataFrame, keys: DataFrame, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The semi or anti join of rows with the distinct keys. Rows hold texts, so they are never shuffled: more than `most` keys take several broadcasts."""
+    parts = max(1, -(-keys.count() // most))
+    place = F.pmod(F.xxhash64("key"), F.lit(parts))
+    cut = (rows.filter(place == k).join(F.broadcast(keys.filter(place == k)), "key", how) for k in range(parts))
+    return reduce(DataFrame.union, cut)
 
 
 def least_overlap(n: int, similarity: float) -> int:
@@ -353,17 +384,18 @@ def least_overlap(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-6)
 
 
-def prefixes(sets: DataFrame, similarity: float, common=None) -> DataFrame:
-    """h, n, id: of each set (id, s) of n shingles its first ones, as many as it takes that two sets of the given similarity share one.
+def prefixes(rows: DataFrame, width: int, seed: int, similarity: float, common=None, fresh: bool = False) -> DataFrame:
+    """h, n, id: of the set of n shingles of each text its first ones, as many as it takes that two sets of the given similarity share one.
 
-    The order is by frequency (of the broadcast shingles and frequencies `common`; 0 for all others), then by hash.
+    The order is by frequency (of the broadcast shingles and frequencies `common`; 0 for all others), then by hash; fresh:
+    only those that are not among the first by hash alone.
     """
 
     def run(batches):
         known, often = common.value if common else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
-            lists, ends = b.column(1), np.r_[0, np.cumsum(b.column(1).value_lengths().to_numpy())]
-            h = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        for _, sets, ids in set_batches(batches, width, seed):
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            h, ends = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.r_[0, np.cumsum(sizes)]
             count = np.zeros(len(h), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -372,21 +404,21 @@ def prefixes(sets: DataFrame, similarity: float, common=None) -> DataFrame:
             for lo, hi in zip(ends, ends[1:]):
                 n, c = int(hi - lo), count[lo:hi]
                 order = np.argsort(c, kind="stable") if c.any() else np.arange(n)
-                hs.append(h[lo:hi][order[: n - least_overlap(n, similarity) + 1]])
-            sizes = np.diff(ends)
+                order, first = order[: (length := n - least_overlap(n, similarity) + 1)], length if fresh else 0
+                hs.append(h[lo:hi][order[order >= first]])
             lens = np.fromiter(map(len, hs), np.int64, len(hs))
-            columns = [np.concatenate([*hs, np.zeros(0, np.uint64)]).view(np.int64), np.repeat(sizes, lens).astype(np.int64), np.repeat(b.column(0).to_numpy(), lens)]
+            columns = [np.concatenate([*hs, np.zeros(0, np.uint64)]).view(np.int64), np.repeat(sizes, lens), np.repeat(ids, lens)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "n", "id"])
 
-    return sets.select("id", "s").mapInArrow(run, "h long, n long, id long")
+    return rows.select(F.col("text").cast("binary")).mapInArrow(run, "h long, n long, id long")
 
 
-def common_shingles(sets: DataFrame, similarity: float):
+def common_shingles(rows: DataFrame, width: int, seed: int, similarity: float):
     """The broadcast shingles that many prefixes hold, sorted, and their frequencies; None if there are none."""
-    context, common = sets.sparkSession.sparkContext, None
+    context, common = rows.sparkSession.sparkContext, None
     known, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for _ in range(COMMON_ROUNDS):
-        counts = prefixes(sets, similarity, common).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON)
+    for _ in range(COMMON_ROUNDS):  # after the first round, what an order has brought in is counted, a fraction of the rows
+        counts = prefixes(rows, width, seed, similarity, common, common is not None).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON)
         found = counts.orderBy(F.desc("n"), "h").limit(COMMON_MOST).toArrow()
         h, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
         new = ~np.isin(h, known)
@@ -399,14 +431,47 @@ def common_shingles(sets: DataFrame, similarity: float):
     return common
 
 
-def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges a > b of the ids of sets (id, s), enough of them to connect all sets of the given similarity.
+def prefix_length(n: np.ndarray, similarity: float) -> np.ndarray:
+    return n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1
+
 
-    Such sets share a shingle of their prefixes, and neither is smaller than `similarity` of the other; of the sets that share
-    one, sorted by size, each is linked with the next one that is not too large. No pairs are made, so a group of any size
-    costs in proportion to it.
+def prefix_pairs(rows: DataFrame, width: int, seed: int, similarity: float, most: int = GROUP) -> DataFrame:
+    """h, a, b, n, need: what the prefixes of the texts' sets have in common.
+
+    Sets of the given similarity share a shingle of their prefixes, and neither is smaller than `similarity` of the other. Of
+    a shingle that up to `most` prefixes hold, all pairs a > b of suitable sizes: n is how many such shingles this row stands
+    for, and unless all of a pair come to `need`, or a commoner one is shared, the sets are not alike: the one whose prefix
+    ends first shares no other shingle of it, so the overlap is at most this number and the rest of the larger remainder.
+    Of a commoner shingle h, no pairs: a row of every set a and its size n, b null; and pairs of neighbours in size, need 0.
     """
-    rows = prefixes(sets, similarity, common_shingles(sets, similarity))
+    heads = prefixes(rows, width, seed, similarity, common_shingles(rows, width, seed, similarity))
+
+    def run(batches):
+        for t in by_groups(batches):
+            h, n, i = (t.column(k).to_numpy() for k in range(3))
+            new = np.r_[True, (h[1:] != h[:-1]) | (i[1:] != i[:-1])]
+            h, n, i = h[new], n[new], i[new]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.repeat(lens := np.diff(np.r_[starts, len(h)]), lens)
+            found = []
+            for s in range(1, min(most, int(lens.max()))):
+                x = np.flatnonzero((h[s:] == h[:-s]) & (n[:-s] >= similarity * n[s:] - 1e-6) & ((size[s:] <= most) | (s == 1)))
+                y = x + s
+                rest = np.maximum(n[x] - prefix_length(n[x], similarity), n[y] - prefix_length(n[y], similarity))
+                need = np.ceil(similarity / (1 + similarity) * (n[x] + n[y]) - rest - 1e-6).astype(np.int64)
+                found.append(np.stack([np.maximum(i[x], i[y]), np.minimum(i[x], i[y]), np.where(size[x] <= most, need, 0)]))
+            if found:
+                (a, b, need), counts = np.unique(np.concatenate(found, 1), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), *map(pa.array, (a, b, counts.astype(np.int64), need))], ["h", "a", "b", "n", "need"])
+            if (many := size > most).any():
+                none = pa.nulls(int(many.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(i[many]), none, pa.array(n[many]), none], ["h", "a", "b", "n", "need"])
+
+    return heads.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "h long, a long, b long, n long, need long")
+
+
+def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
+    """Edges a > b that connect, of the rows (h, n, id) of each h, all ids whose sizes n let them be alike; in proportion to the rows."""
 
     def run(batches):
         last = [np.zeros(0, np.int64)] * 3
@@ -417,7 +482,7 @@ def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
             a, b = i[1:][near], i[:-1][near]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    return rows.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("h", "n", "id").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray]):
@@ -436,17 +501,32 @@ def overlaps(sets: list[np.ndarray]):
         yield np.bincount(holders[place], minlength=n)
 
 
-def alike(members: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Edges a > b, enough of them to connect the members (g, id, s) of each group g whose sets are as similar as asked.
+def stars(pairs: DataFrame, most: int) -> DataFrame:
+    """k, id: places k where every pair (a, b) meets; each b is copied once for `most` of its pairs."""
+    pairs = reliable(pairs)
+    wide = pairs.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    met = pairs.join(wide, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("k"))
+    return met.select("k", F.col("a").alias("id")).union(met.select("k", "b")).distinct()
+
 
-    Groups beyond a tile are cut in tiles, all pairs of which meet; a task holds two tiles at most.
+def tiled(members: DataFrame, tile: int) -> DataFrame:
+    """k, id: places k where every two members (g, id, c) of a group g meet that are of different classes c.
+
+    A group's members, sorted by class, are cut in tiles, all pairs of which meet but those of one class only.
     """
-    heavy = F.col("n") > tile
-    sizes = reliable(members.groupBy("g").agg(F.count("*").alias("n")).filter((F.col("n") > 1)))
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    rows = members.join(small(sizes), "g").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), tiles).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), tiles - 1), lambda u: F.xxhash64("g", F.least(u, F.col("own")), F.greatest(u, F.col("own"))))
-    rows = rows.withColumn("k", F.explode(F.when(heavy, others).otherwise(F.array(F.xxhash64("g"))))).select("k", "id", "s")
+    order = Window.partitionBy("g").orderBy("c", "id")
+    rows = reliable(members.withColumn("u", F.floor((F.row_number().over(order) - 1) / tile)))
+    tiles = rows.groupBy("g", "u").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    other = tiles.select(F.col("g").alias("g_"), F.col("u").alias("v"), F.col("hi").alias("hi_"))
+    meet = tiles.join(other, (F.col("g") == F.col("g_")) & (F.col("u") <= F.col("v")) & (F.col("lo") != F.col("hi_")))
+    meet = reliable(meet.select("g", "u", "v", F.xxhash64("g", "u", "v").alias("k")))
+    places = meet.select("g", "u", "k").union(meet.filter("u < v").select("g", "v", "k"))
+    return rows.join(places, ["g", "u"]).select("k", "id")
+
+
+def alike(places: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges a > b, enough of them to connect the ids of each place k of places (k, id) whose sets (id, s) are as similar as asked."""
+    rows = sets.join(small(places), "id").select("k", "id", "s")
     rows = rows.repartition("k").sortWithinPartitions("k", "id")
 
     def run(batches):
@@ -465,33 +545,57 @@ def alike(members: DataFrame, similarity: float, tile: int) -> DataFrame:
                 i = np.flatnonzero(root != np.arange(len(ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[root[i]])], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, used: list | None = None) -> DataFrame:
     """doc_id, key, keeper, keeper_key: of every row, the row that stays for it, itself if it is unlike all others.
 
-    Two documents are alike if their sets of `width`-word shingles have the given Jaccard similarity. Candidates are linked
-    by prefixes of the sets, which loses no such pair, and are verified among what such links connect. A group is what
-    likeness connects; the row of the smallest doc_id stays, null last, then that of the smallest key, a hash of all
-    columns. Documents without words are copies of each other. `used`, if given, receives the tables that the result reads.
+    Two documents are alike if their sets of `width`-word shingles have the given Jaccard similarity. Pairs of
+    sets that share enough of their prefixes are verified; where many prefixes hold a shingle, sets of different classes. A
+    group is what likeness connects; the row of the smallest doc_id stays, null last, then that of the smallest key, a hash
+    of all columns. Documents without words are copies of each other. Sets are made anew from the texts wherever they are
+    read, as they would take more disk than the texts. `used`, if given, receives the tables that the result reads.
     """
     rows = docs.select("doc_id", row_hash(docs).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = reliable(shingle_sets(rows, width).withColumn("row", F.monotonically_increasing_id()))
-    rep = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key", "row")).alias("rep")
-    nodes = reliable(marked.groupBy("t1", "t2").agg(rep).withColumn("id", F.monotonically_increasing_id()))
-    one = nodes.select("id", F.col("rep.row").alias("row"))
-    sets = marked.select("row", "s").join(small(one), "row").select("id", "s")
-    members = reliable(connected(prefix_links(sets, similarity)).select(F.col("root").alias("g"), F.col("v").alias("id")))
-    comps = reliable(connected(alike(sets.join(small(members), "id").select("g", "id", "s"), similarity, NEAR_TILE)))
-    slim = reliable(marked.select("doc_id", "key", "t1", "t2"))
-    discard(marked, members)
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("rep")
+    for seed in count():  # until no two sets have one id
+        marked = reliable(set_marks(rows, width, seed))
+        nodes = reliable(marked.groupBy("id", "t2").agg(rep))
+        if not nodes.groupBy("id").count().filter("count > 1").limit(1).count():
+            break
+    kept = nodes.select(F.col("rep.key").alias("key"), "id")
+    copies = marked.join(kept.withColumnRenamed("key", "kept"), "id").filter("key <> kept").select("key").distinct()
+    copies = reliable(copies.join(kept, "key", "left_anti"))
+    once = by_key(rows, copies, "left_anti")
+
+    def classes(edges: DataFrame) -> DataFrame:
+        return reliable(connected(edges).select(F.col("v").alias("id"), F.col("root").alias("c")))
+
+    def verified(places: DataFrame) -> DataFrame:
+        places = reliable(places)
+        keys = reliable(kept.join(places.select("id").distinct(), "id").select("key").distinct())
+        return reliable(alike(places, shingle_sets(by_key(rows, keys, "left_semi"), width, seed), similarity))
+
+    found = reliable(prefix_pairs(once, width, seed, similarity))
+    pairs = found.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need")
+    edges = [verified(stars(pairs.select("a", "b"), NEAR_TILE))]
+    known = classes(edges[0])
+    many = found.filter("b is null").select("h", "n", F.col("a").alias("id")).join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    mixed = many.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
+    many = reliable(many.join(mixed, "h"))
+    members = connected(neighbours(many, similarity)).select(F.col("root").alias("g"), F.col("v").alias("id"))
+    edges.append(verified(tiled(members.join(many.select("id", "c").distinct(), "id"), NEAR_TILE)))
+    comps = reliable(connected(reduce(DataFrame.union, edges)))
+    discard(found, many)
+    slim = reliable(marked.select("doc_id", "key", "id"))
+    discard(marked)
     member = reliable(comps.join(nodes.select("id", "rep"), F.col("v") == F.col("id")).select("root", "v", "rep"))
     best = reliable(member.join(member.groupBy("root").agg(F.min("rep").alias("best")), "root").select(F.col("v").alias("id"), "best"))
-    keepers = reliable(nodes.join(small(best), "id", "left").select("t1", "t2", F.coalesce("best", "rep").alias("best")))
+    keepers = reliable(nodes.join(small(best), "id", "left").select("id", F.coalesce("best", "rep").alias("best")))
     if used is not None:
         used += [slim, keepers]
-    out = slim.join(keepers, ["t1", "t2"])
+    out = slim.join(keepers, "id")
     return out.select("doc_id", "key", F.col("best.doc_id").alias("keeper"), F.col("best.key").alias("keeper_key"))
 
 

@@ -1,5 +1,6 @@
 """The pipeline's stages, each against a brute-force version, and its whole run on small tables."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from seqweave.llm import mixing, toxicity
+from seqweave.llm import mixing, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -119,3 +120,23 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
         out = stage(spark, full, str(tmp_path))
         assert set(full.columns) <= set(out.columns) or name == "sharding"
         assert out.count() == 20 or name == "near_dedup"
+
+
+def test_near_dedup_stores_less_than_its_texts(spark, tmp_path, monkeypatch):
+    """Sets of shingles take more room than texts of short words; documents that share a passage with the next are not alike."""
+    rng, stored = random.Random(11), []
+    words = [[f"{rng.randrange(4000):x}" for _ in range(150)] for _ in range(400)]
+    texts = [" ".join(a + b[:20] + b[-20:]) for a, b in zip(words, words[1:] + words[:1])]
+    plain = simhash.reliable
+
+    def recorded(df):
+        out = plain(df)
+        place = out.path_.removeprefix("file:")
+        stored.append(sum(os.path.getsize(f"{place}/{x}") for x in os.listdir(place) if x.endswith(".parquet") and out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "reliable", recorded)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], DOCS).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").count() == 400
+    assert max(stored) < 0.5 * sum(map(len, texts))
