@@ -350,15 +350,16 @@ def set_batches(batches, width: int, seed: int = 0):
 
 
 def set_marks(rows: DataFrame, width: int, seed: int = 0) -> DataFrame:
-    """doc_id, key, id, t2 of rows (doc_id, key, text): two hashes of the set of shingles."""
+    """doc_id, key, id, t2, fp of rows (doc_id, key, text): two hashes of the set of shingles, and its fingerprint."""
 
     def run(batches):
         for b, sets, ids in set_batches(batches, width, seed):
             t2 = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), seed + 1) for x in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *map(pa.array, (ids, t2))], ["doc_id", "key", "id", "t2"])
+            fps = np.fromiter((majority(x) if len(x) else 0 for x in sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *map(pa.array, (ids, t2, fps))], ["doc_id", "key", "id", "t2", "fp"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key long, id long, t2 long")
+    return rows.select("doc_id", "key", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, key long, id long, t2 long, fp long")
 
 
 def shingle_sets(rows: DataFrame, width: int, seed: int = 0) -> DataFrame:
@@ -551,8 +552,9 @@ def alike(places: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float = NEAR_SIMILARITY, used: list | None = None) -> DataFrame:
     """doc_id, key, keeper, keeper_key: of every row, the row that stays for it, itself if it is unlike all others.
 
-    Two documents are alike if their sets of `width`-word shingles have the given Jaccard similarity. Pairs of
-    sets that share enough of their prefixes are verified; where many prefixes hold a shingle, sets of different classes. A
+    Two documents are alike if their sets of `width`-word shingles have the given Jaccard similarity. The sets' fingerprints
+    are linked as those of near_classes(), and links are verified by the sets. Fingerprints of sets of that similarity may
+    be far apart, so an exact way finds the rest: pairs of sets of different classes that share enough of their prefixes. A
     group is what likeness connects; the row of the smallest doc_id stays, null last, then that of the smallest key, a hash
     of all columns. Documents without words are copies of each other. Sets are made anew from the texts wherever they are
     read, as they would take more disk than the texts. `used`, if given, receives the tables that the result reads.
@@ -561,7 +563,7 @@ def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "key")).alias("rep")
     for seed in count():  # until no two sets have one id
         marked = reliable(set_marks(rows, width, seed))
-        nodes = reliable(marked.groupBy("id", "t2").agg(rep))
+        nodes = reliable(marked.groupBy("id", "t2").agg(rep, F.min("fp").alias("fp")))
         if not nodes.groupBy("id").count().filter("count > 1").limit(1).count():
             break
     kept = nodes.select(F.col("rep.key").alias("key"), "id")
@@ -572,15 +574,25 @@ def near_duplicates(docs: DataFrame, width: int = NEAR_WIDTH, similarity: float
     def classes(edges: DataFrame) -> DataFrame:
         return reliable(connected(edges).select(F.col("v").alias("id"), F.col("root").alias("c")))
 
+    def apart(pairs: DataFrame, c: DataFrame) -> DataFrame:
+        """The pairs whose ends are of different classes."""
+        ends = [c.select(F.col("id").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab"]
+        return pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").filter("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
+
     def verified(places: DataFrame) -> DataFrame:
         places = reliable(places)
         keys = reliable(kept.join(places.select("id").distinct(), "id").select("key").distinct())
         return reliable(alike(places, shingle_sets(by_key(rows, keys, "left_semi"), width, seed), similarity))
 
+    prints = reliable(nodes.groupBy("fp").agg(F.min("id").alias("first")))
+    equal = nodes.join(prints, "fp").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    links = spanning_links(prints.select("fp", F.col("first").alias("id")), RADIUS, RADIUS + 2).union(equal)
+    edges = [verified(stars(links, NEAR_TILE))]
+    known = classes(edges[0])
     found = reliable(prefix_pairs(once, width, seed, similarity))
     pairs = found.filter("b is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).filter("n >= need")
-    edges = [verified(stars(pairs.select("a", "b"), NEAR_TILE))]
-    known = classes(edges[0])
+    edges.append(verified(stars(apart(pairs, known), NEAR_TILE)))
+    known = classes(edges[0].union(edges[1]))
     many = found.filter("b is null").select("h", "n", F.col("a").alias("id")).join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
     mixed = many.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
     many = reliable(many.join(mixed, "h"))

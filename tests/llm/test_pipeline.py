@@ -140,3 +140,17 @@ def test_near_dedup_stores_less_than_its_texts(spark, tmp_path, monkeypatch):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").count() == 400
     assert max(stored) < 0.5 * sum(map(len, texts))
+
+
+def test_near_dedup_links_by_fingerprints(spark, monkeypatch):
+    """Near copies of near fingerprints are settled by these; only the others, one in five here, are left to the exact way."""
+    rng, asked = random.Random(12), []
+    rows = []
+    for k in range(0, 100, 2):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(1500)]
+        rows += [(k, " ".join(base)), (k + 1, " ".join([*base, "more"] if k % 10 else base[:1250]))]
+    plain = simhash.stars
+    monkeypatch.setattr(simhash, "stars", lambda pairs, most: asked.append(pairs.count()) or plain(pairs, most))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], DOCS)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(range(0, 100, 2))
+    assert len(asked) == 2 and asked[0] >= 30 and asked[0] + asked[1] == 50
