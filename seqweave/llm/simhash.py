@@ -38,6 +38,8 @@ AT_ONCE = 500
 COMMON, COMMON_MOST, COMMON_ROUNDS = 4, 1_000_000, 3
 #: Prefixes that hold a shingle, up to which all their pairs are counted. Does not change the result.
 GROUP = 16
+#: Edges whose components the driver finds; beyond it, rounds over tables do. Does not change the result.
+DRIVER_EDGES = 200_000
 STEP = 65_536
 
 
@@ -284,11 +286,20 @@ def spanning_links(nodes: DataFrame, radius: int, blocks: int, tile: int = TILE)
     return grouped(nodes.select("fp", "id"), blocks, tile).mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """What connected() gives, of edges of longs that fit the driver."""
+    found = edges.toArrow()
+    ids, place = np.unique(np.r_[found.column("a").to_numpy(), found.column("b").to_numpy()], return_inverse=True)
+    sets = Union(len(ids))  # by rank, so the smallest member is that of the smallest id
+    sets.link(place[: found.num_rows], place[found.num_rows :])
+    return edges.sparkSession.createDataFrame(pa.table({"v": ids, "root": ids[sets.roots()]}))
+
+
+def connected(edges: DataFrame, rounds: int = 60, most: int = DRIVER_EDGES) -> DataFrame:
     """v, root of every vertex of the edges (a, b): its component's smallest vertex.
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until nothing changes; the number of
-    rounds grows with the logarithm of the longest path.
+    Up to `most` edges of longs come to the driver. Of more: alternating large-star and small-star rounds, each written to the
+    shared folder, until nothing changes; the number of rounds grows with the logarithm of the longest path.
     """
     edges = reliable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
 
@@ -310,6 +321,10 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         return out
 
     before = mark(edges)
+    if before[0] <= most and all(t == "bigint" for _, t in edges.dtypes):
+        out = components(edges)
+        discard(edges)
+        return out
     for _ in range(rounds):
         if not before[0]:
             break

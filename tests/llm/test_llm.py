@@ -106,6 +106,17 @@ def test_components_of_long_paths(spark):
     assert got == {k: 0 if k < n else n for k in range(n + 500)}
 
 
+def test_components_of_few_edges_take_one_table(spark, monkeypatch):
+    rng, stored, plain = random.Random(3), [], simhash.reliable
+    monkeypatch.setattr(simhash, "reliable", lambda df: stored.append(1) or plain(df))
+    pairs = [(rng.randrange(-900, 900), rng.randrange(-900, 900)) for _ in range(800)] + [(-(1 << 63), (1 << 63) - 1), (5, 5)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = sorted(map(tuple, simhash.connected(edges).collect()))
+    assert len(stored) == 1
+    assert got == sorted(map(tuple, simhash.connected(edges, most=0).collect())) and len(got) == len(set(got)) > 900
+    assert simhash.connected(edges.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_contiguous_edits(spark):
     rng = random.Random(7)
     text = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
