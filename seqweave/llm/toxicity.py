@@ -129,7 +129,8 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.float64()), pa.array([terms(x.as_py()).astype(np.int32) for x in b.column(1)], pa.list_(pa.int32()))], ["y", "f"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))  # at most `sample` rows
-    rows = reliable(rows.select("y", F.col("text").cast("binary")).mapInArrow(run, "y double, f array<int>"))
+    files = 2 * docs.sparkSession.sparkContext.defaultParallelism  # else as many as a shuffle has partitions, most of them tiny
+    rows = reliable(rows.select("y", F.col("text").cast("binary")).coalesce(files).mapInArrow(run, "y double, f array<int>"))
     counts = rows.select(F.explode("f").alias("b"), (F.col("y") > 0).cast("int").alias("t")).groupBy("b").agg(F.count("*").alias("seen"), F.sum("t").alias("toxic")).toArrow()  # at most BUCKETS
     seen, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     b = counts.column("b").to_numpy()

@@ -518,6 +518,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert n[1, 1] >= 0.9 * (n[1, 1] + n[1, 0]) and n.get((0, 1), 0) <= 0.002 * n[0, 0]
 
 
+def test_toxicity_keeps_its_sample_in_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has: a file takes three processes on a local disk, and the sample is bounded."""
+    files, plain = [], toxicity.reliable
+    monkeypatch.setattr(toxicity, "reliable", lambda df: files.append(len((out := plain(df)).inputFiles())) or out)
+    monkeypatch.setattr(toxicity, "discard", lambda *_: None)
+    docs = spark.createDataFrame([(k, f"word{k % 7} bad{k % 2}") for k in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id long, toxic int")
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        machine = toxicity.learned(docs, labels)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) == 1 and files[0] <= 2 * spark.sparkContext.defaultParallelism
+    assert [r.predicted for r in toxicity.scored(docs, machine).orderBy("doc_id").collect()] == [k % 2 for k in range(300)]
+
+
 def test_toxicity(spark):
     rows, docs = corpus(spark, 200)
     rows = [(k, (t or "") + " scum" if k and k % 9 == 0 else t, *r) for k, t, *r in rows]
