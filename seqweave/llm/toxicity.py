@@ -31,6 +31,8 @@ STEPS, RATE, PENALTY, SEED = 200, 0.05, 1e-4, 11
 TOXIC_WEIGHT = 4.0
 #: Texts whose terms are held at once.
 AT_ONCE = 250
+#: Used buckets of documents that a step of fitting takes at once (of whole documents), as its sums take many times their memory.
+FIT_AT_ONCE = 1 << 16
 #: Stripped from both ends of a word.
 MARKS = b".,;:!?%$#&*\"'()[]<>-_"
 
@@ -95,20 +97,27 @@ def fitted(features: list[np.ndarray], y: np.ndarray, index: np.ndarray) -> Mach
     share = y.mean() if n else 0.0
     if not 0 < share < 1:
         return Machine(index, 40.0 if share else -40.0, np.zeros(0), np.zeros((0, RANK)))
-    rows = np.repeat(np.arange(n), [len(f) for f in features])
-    f = np.concatenate([*features, np.zeros(0, np.int64)])
+    lens = np.fromiter(map(len, features), np.int64, n)
+    ends = np.r_[0, np.cumsum(lens)]
+    flat = np.concatenate(features).astype(np.int32, copy=False)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(0, ends[-1], FIT_AT_ONCE)), n])
     rng = np.random.default_rng(SEED)
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(used), rng.normal(0, 0.01, (used, RANK))
     counts = np.where(y > 0, TOXIC_WEIGHT, 1.0)
     counts /= counts.sum()
     moments = [np.zeros(2), *(np.zeros((2, *x.shape)) for x in (w, v))]
     for step in range(1, STEPS + 1):
-        m, total = margins(rows, f, n, bias, w, v)
-        g = (sigmoid(m) - y) * counts
-        gf = g[rows]
-        gw = np.bincount(f, gf, len(w))
-        gv = np.stack([np.bincount(f, gf * total[rows, k], len(w)) for k in range(RANK)], 1) - gw[:, None] * v
-        for x, (grad, old) in enumerate(((g.sum(), 0.0), (gw + PENALTY * w, w), (gv + 10 * PENALTY * v, v))):
+        gb, gw, gv = 0.0, np.zeros_like(w), np.zeros_like(v)
+        for lo, hi in zip(cuts, cuts[1:]):
+            f, rows = flat[ends[lo] : ends[hi]], np.repeat(np.arange(hi - lo), lens[lo:hi])
+            m, total = margins(rows, f, hi - lo, bias, w, v)
+            g = (sigmoid(m) - y[lo:hi]) * counts[lo:hi]
+            gf = g[rows]
+            gb += g.sum()
+            gw += np.bincount(f, gf, len(w))
+            gv += np.stack([np.bincount(f, gf * total[rows, k], len(w)) for k in range(RANK)], 1)
+        gv -= gw[:, None] * v
+        for x, (grad, old) in enumerate(((gb, 0.0), (gw + PENALTY * w, w), (gv + 10 * PENALTY * v, v))):
             a, b = moments[x]
             a, b = 0.9 * a + 0.1 * grad, 0.999 * b + 0.001 * grad**2
             moments[x] = (a, b)
@@ -145,8 +154,11 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
 
     found = rows.mapInArrow(used, "y double, f array<int>").toArrow()
     discard(rows)
-    pairs = sorted((float(y > 0), f) for y, f in zip(found.column("y").to_pylist(), found.column("f").to_pylist()))  # in an order of their own
-    return fitted([np.array(f, np.int64) for _, f in pairs], np.array([y for y, _ in pairs]), index)
+    f = found.column("f").combine_chunks()
+    ends, flat = f.offsets.to_numpy(), f.values.to_numpy()
+    y, lists = (found.column("y").to_numpy() > 0).astype(float), [flat[a:b] for a, b in zip(ends, ends[1:])]
+    order = sorted(range(len(y)), key=lambda k: (y[k], lists[k].astype(">i4").tobytes()))  # an order of their own: by label, then by the numbers
+    return fitted([lists[k] for k in order], y[order], index)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

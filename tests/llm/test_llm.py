@@ -1,8 +1,10 @@
 import itertools
 import json
 import math
+import os
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from seqweave.llm import decontaminate, hmm, html, mixing, sharding, simhash, topk, toolcalls, toxicity, urlfilter
+from seqweave.llm.common import discard, reliable
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, g string"
 
@@ -538,6 +541,34 @@ def test_toxicity_keeps_its_sample_in_few_files(spark, monkeypatch):
     assert [r.predicted for r in toxicity.scored(docs, machine).orderBy("doc_id").collect()] == [k % 2 for k in range(300)]
 
 
+def test_toxicity_fits_in_little_memory(monkeypatch):
+    """The driver fits the machine, so a step's sums are made of a part of the documents at a time."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(20_000) < 0.3).astype(float)
+    index = np.full(toxicity.BUCKETS, -1)
+    index[:400] = np.arange(400)
+    features = [np.sort(rng.choice(200 + 200 * int(t), int(k), replace=False)).astype(np.int32) for t, k in zip(y, rng.integers(0, 160, len(y)))]
+    features[0] = features[-1] = np.zeros(0, np.int32)
+    monkeypatch.setattr(toxicity, "STEPS", 3)
+    tracemalloc.start()
+    m = toxicity.fitted(features, y, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20  # 1.6 million entries; sums over all of them at once took 50 MB
+    for size in (1 << 30, 5000):
+        monkeypatch.setattr(toxicity, "FIT_AT_ONCE", size)
+        other = toxicity.fitted(features, y, index)
+        assert np.allclose([m.bias, *m.w, *m.v.ravel()], [other.bias, *other.w, *other.v.ravel()], rtol=0, atol=1e-9)
+
+
+def test_tables_between_steps_have_no_mark_of_success(spark):
+    df = reliable(spark.range(100).repartition(3))
+    path = df.path_.removeprefix("file:")
+    assert df.count() == 100 and not [x for x in os.listdir(path) if "_SUCCESS" in x]
+    discard(df)
+    assert not os.path.exists(path)
+
+
 def test_toxicity(spark):
     rows, docs = corpus(spark, 200)
     rows = [(k, (t or "") + " scum" if k and k % 9 == 0 else t, *r) for k, t, *r in rows]
